@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 def stale_rows(df: DataFrame, keys: list[str], order: list[Column], row: str) -> DataFrame:
     """The values of ``row`` that are not the latest of their ``keys``.
 
-    Only keys and order columns are shuffled. A key that occurs once costs one partial aggregate row.
-    Nulls in ``order`` sort before every value, so an undated row loses against a dated one.
+    Only keys and order columns are shuffled; a key that occurs once costs one partial aggregate row. Nulls in
+    ``order`` sort before every value, so an undated row loses against a dated one; null keys form one group.
     """
-    rank = F.struct(*order, F.col(row))
-    newest = df.groupBy(*keys).agg(F.max(rank).alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    newest = newest.select(*keys, F.col("_top")[row].alias("_keep"))
-    on = [df[k].eqNullSafe(newest[k]) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return df.join(newest, cond, "inner").where(F.col(row) != F.col("_keep")).select(df[row].alias(row))
+    newest = (
+        df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        .agg(F.max(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(row).alias("r"))).alias("_top"), F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1")
+        .select(*[f"_k{i}" for i in range(len(keys))], F.col("_top.r").alias("_keep"))
+    )
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(newest, match & (F.col(row) != F.col("_keep")), "inner").select(row)
 
 
 def latest_rows(df: DataFrame, keys: list[str], order: list[Column], row: str) -> DataFrame:
@@ -27,10 +29,4 @@ def latest_rows(df: DataFrame, keys: list[str], order: list[Column], row: str) -
     Re-deliveries are the exception in delivery logs, so the stale minority is anti-joined away (broadcast by the
     adaptive planner while it is small, shuffled on the narrow ``row`` key otherwise).
     """
-    stale = stale_rows(df.select(*dict.fromkeys([*keys, row, *[c for c in df.columns if c in _names(df, order)]])), keys, order, row)
-    return df.join(stale, row, "left_anti")
-
-
-def _names(df: DataFrame, order: list[Column]) -> set[str]:
-    text = " ".join(str(c) for c in order)
-    return {c for c in df.columns if c in text}
+    return df.join(stale_rows(df, keys, order, row), row, "left_anti")
