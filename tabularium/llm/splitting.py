@@ -42,8 +42,11 @@ def pieces(text: Column, limit: int = 2000, overlap: int = 100) -> Column:
     least = max(1, overlap)
     head = F.regexp_extract(text, walk_pattern(least, limit), 0)
     rest = F.regexp_extract_all(F.substring(text, F.length(head) + 1, F.length(text)), F.lit(walk_pattern(least, limit - overlap)), F.lit(0))
-    bodies = F.concat(F.array(head), rest)
-    led = F.transform(bodies, lambda b, i: F.when(i == 0, b).otherwise(F.concat(F.right(F.element_at(bodies, F.greatest(i, F.lit(1))), F.lit(overlap)), b)))
+    # bound by an outer lambda, as the inner one would walk the text again for each piece
+    led = F.transform(
+        F.array(F.concat(F.array(head), rest)),
+        lambda bodies: F.transform(bodies, lambda b, i: F.when(i == 0, b).otherwise(F.concat(F.right(F.element_at(bodies, F.greatest(i, F.lit(1))), F.lit(overlap)), b))),
+    )[0]
     return F.when(F.length(text) > limit, led).when(text.isNotNull(), F.array(text))
 
 
