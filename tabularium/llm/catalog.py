@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("splitting", "fusing", "site_lines", "repetition", "leakage", "near_duplicates", "packing", "neighbours", "lookalikes")
+MODULES = ("splitting", "fusing", "site_lines", "repetition", "leakage", "near_duplicates", "packing", "neighbours", "lookalikes", "scans")
 
 
 def _gather(name: str) -> dict:
