@@ -33,6 +33,7 @@ SHARE, OFTEN = 5e-6, 8
 #: Words that are damaged to train the editor, at most.
 LESSONS = 5000
 BREAK = "↵"
+_PAGE_ENDS, _INNER = regex.compile(r"^\s*(?:[Pp]age )?\d{1,4} |\s+\d{1,4}\s*$"), regex.compile(r"(?<![\p{L}\d@|])\d+(?![\p{L}\d@|])")
 
 _PAGE = r"(?:[\[(—–-]\s*\d{1,4}\s*[\])—–-]|[Pp](?:age|\.)\s*\d{1,4}(?:\s*(?:/|sur)\s*\d{1,4})?|\d{1,4}\s*[|/—–-]|\d{1,4}\s*/\s*\d{1,4}|[|/—–]\s*\d{1,4})"
 _NUMBER = r"\d{1,4}"
@@ -143,6 +144,11 @@ def lessons_from(lexicon: dict[str, int], most: int = LESSONS, seed: int = 11) -
     return out
 
 
+def is_head(line: str) -> bool:
+    """A running head: two titles with a sign between them, whose only figures are the page number at either end."""
+    return bool(HEAD.fullmatch(line)) and not _INNER.search(_PAGE_ENDS.sub("", line))
+
+
 class ScanRepair:
     """Lexicon and editor, and what they do to one text."""
 
@@ -218,7 +224,7 @@ class ScanRepair:
     @staticmethod
     def furniture(lines: list[str]) -> set[int]:
         """Lines that are page numbers or running heads: by form, and standing amid an unfinished sentence."""
-        form = [2 if PAGE.fullmatch(x) else 1 if NUMBER.fullmatch(x) or HEAD.fullmatch(x) else 0 for x in lines]
+        form = [2 if PAGE.fullmatch(x) else 1 if NUMBER.fullmatch(x) or is_head(x) else 0 for x in lines]
         out = set()
         for i, f in enumerate(form):
             if not f:
@@ -359,7 +365,7 @@ def repair_cells(own: ScanRepair, text: str) -> tuple[str, int]:
     for row in text.split(ROW):
         cells = row.split(CELL)
         filled = [c for c in cells if c.strip()]
-        if len(filled) == 1 and filled[0] is cells[0] and len(cells) > 1 and (PAGE.fullmatch(cells[0]) or NUMBER.fullmatch(cells[0]) or HEAD.fullmatch(cells[0])) or len(cells) == 1 and PAGE.fullmatch(row):
+        if len(filled) == 1 and filled[0] is cells[0] and len(cells) > 1 and (PAGE.fullmatch(cells[0]) or NUMBER.fullmatch(cells[0]) or is_head(cells[0])) or len(cells) == 1 and PAGE.fullmatch(row):
             n += 1
             continue
         done = [own.repair(c) for c in cells]
