@@ -33,6 +33,7 @@ SHARE, OFTEN = 5e-6, 8
 #: Words that are damaged to train the editor, at most.
 LESSONS = 5000
 BREAK = "↵"
+_MARKED = regex.compile(r"^\s*(?:[Pp]age \d{1,4} |\d{1,4}  )|\(suite\)\s*$|  \d{1,4}\s*$", regex.I)
 _PAGE_ENDS, _INNER = regex.compile(r"^\s*(?:[Pp]age )?\d{1,4} |\s+\d{1,4}\s*$"), regex.compile(r"(?<![\p{L}\d@|])\d+(?![\p{L}\d@|])")
 
 _PAGE = r"(?:[\[(—–-]\s*\d{1,4}\s*[\])—–-]|[Pp](?:age|\.)\s*\d{1,4}(?:\s*(?:/|sur)\s*\d{1,4})?|\d{1,4}\s*[|/—–-]|\d{1,4}\s*/\s*\d{1,4}|[|/—–]\s*\d{1,4})"
@@ -51,6 +52,7 @@ _QUICK = (
     r"[\p{L}\d@|][-¬][ \t]*\n\s*[\p{L}\d@|]",
     r"(?:^|[^\p{L}\p{M}\d@|])[\p{L}\d@|] [\p{L}\d@|] [\p{L}\d@|](?:[^\p{L}\p{M}\d@|]|$)",
     rf"(?m)^[ \t]*(?:{_PAGE}|{_NUMBER}|{_HEAD})[ \t]*$",
+    r"(?m)^[ \t]*(?:[Pp]age \d{1,4} |\d{1,4}  )\p{Lu}|\([Ss][Uu][Ii][Tt][Ee]\)[ \t]*$|\p{L}  +\d{1,4}[ \t]*$|\p{Lu}{3} (?:—|/|\|) \p{Lu}",
     r"[:.] ?(?:[\[—–-] ?\d{1,4} ?[\]—–-]|[Pp](?:age|\.) ?\d)",
 )
 
@@ -225,6 +227,11 @@ class ScanRepair:
     def furniture(lines: list[str]) -> set[int]:
         """Lines that are page numbers or running heads: by form, and standing amid an unfinished sentence."""
         form = [2 if PAGE.fullmatch(x) else 1 if NUMBER.fullmatch(x) or is_head(x) else 0 for x in lines]
+        for i in range(len(lines) - 1):  # a head that was wrapped, known by its page number, mark or capitals
+            if not form[i] and not form[i + 1]:
+                both = f"{lines[i].rstrip()} {lines[i + 1].strip()}"
+                if len(both) < 150 and is_head(both) and (_MARKED.search(both) or both.isupper()):
+                    form[i] = form[i + 1] = 1
         out = set()
         for i, f in enumerate(form):
             if not f:
