@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("retrieval", "knowledge", "documents")
 
 
 def _gather(name: str) -> dict:

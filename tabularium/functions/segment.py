@@ -12,16 +12,22 @@ def cut_before(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, _CUT + "$0"), _CUT)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for a row, however often and within whatever lambda it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """``array<struct<text, before, offset>>`` of all matches: position in code points from 0, without a Python worker."""
+    """``array<struct<text, offset>>`` of all matches: position in code points from 0, without a Python worker."""
     parts = F.split(F.regexp_replace(text, pattern, f"{_CUT}$0{_END}"), _CUT)
-    clean = F.transform(parts, lambda p: F.replace(p, F.lit(_END), F.lit("")))
-    lengths = F.transform(clean, lambda p: F.length(p))
-    found = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.struct(F.substring_index(F.get(parts, i), _END, 1).alias("text"), F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda s, n: s + n).alias("offset")),
-    )
-    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<text:string,offset:int>>"))
+
+    def located(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: F.length(F.replace(x, F.lit(_END), F.lit(""))))
+        starts = F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.array_append(s, F.element_at(s, -1) + n))
+        both = F.arrays_zip(F.transform(p, lambda x: F.substring_index(x, _END, 1)).alias("text"), F.slice(starts, F.lit(1), F.size(p)).alias("offset"))
+        return F.slice(both, F.lit(2), F.size(p))
+
+    return let(parts, located)
 
 
 def packed(parts: Column, most: int, joint: str, extra: int) -> Column:
@@ -43,9 +49,9 @@ def packed(parts: Column, most: int, joint: str, extra: int) -> Column:
 def packed_paragraphs(text: Column, most: int, pattern: str = r"(?=\n\s*\d{1,2}\))") -> Column:
     """Numbered paragraphs packed below ``most``; sentences where there are no numbered paragraphs."""
     trimmed = lambda x: F.filter(F.transform(x, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
-    numbered, sentences = F.split(text, pattern), F.split(text, r"(?U)(?<=[.!?])\s+")
-    out = F.when(F.size(numbered) > 1, packed(trimmed(numbered), most, "\n", 2)).otherwise(packed(sentences, most, " ", 1))
-    return F.when(F.size(out) > 0, out).otherwise(F.array(text))
+    sentences = F.split(text, r"(?U)(?<=[.!?])\s+")
+    out = let(F.split(text, pattern), lambda ps: F.when(F.size(ps) > 1, packed(trimmed(ps), most, "\n", 2)).otherwise(packed(sentences, most, " ", 1)))
+    return let(out, lambda o: F.when(F.size(o) > 0, o).otherwise(F.array(text)))
 
 
 def page_of_offset(pages: Column, offset: Column) -> Column:

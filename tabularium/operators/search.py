@@ -31,7 +31,7 @@ def field_scores(df: DataFrame, fields: dict[str, tuple[float, float]], terms: l
     """
     toks = {f: F.col(f"_t_{f}") for f in fields}
     with_tokens = df.select("*", *[tokens(F.col(f)).alias(f"_t_{f}") for f in fields])
-    tf = {(f, i): F.size(F.filter(toks[f], lambda x, t=t: x == t)) for f in fields for i, t in enumerate(terms)}
+    tf = {(f, i): F.size(F.filter(toks[f], lambda x: x == t)) for f in fields for i, t in enumerate(terms)}
     parts = []
     for f in fields:
         n = F.size(toks[f])
