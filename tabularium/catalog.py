@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "knowledge", "documents")
+MODULES = ("retrieval", "knowledge", "documents", "streams")
 
 
 def _gather(name: str) -> dict:
