@@ -26,7 +26,9 @@ def stream_upsert(spark: SparkSession, root: str) -> DataFrame:
 def stream_windows(spark: SparkSession, root: str) -> DataFrame:
     """Events counted in windows of a day by type, from a stream with a watermark."""
     rows = table(spark, root, "events")
-    stream = ingest.stream_files(spark, f"{root.rstrip('/')}/events.parquet", rows.schema)
+    # the wall clock of the events taken as UTC, whatever the session's zone
+    clock = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    stream = ingest.stream_files(spark, f"{root.rstrip('/')}/events.parquet", rows.schema).withColumn("ts", clock)
     counts = ingest.windowed_counts(stream, "ts", "30 days", "1 day", "event_type")
     at = _target(spark, "windows")
 
@@ -37,7 +39,7 @@ def stream_windows(spark: SparkSession, root: str) -> DataFrame:
     query.awaitTermination()
     out = spark.read.parquet(at)
     last = out.agg(F.max("batch_id")).first()[0]
-    return out.where(F.col("batch_id") == last).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return out.where(F.col("batch_id") == last).select(F.date_from_unix_date(F.floor(F.unix_seconds("day") / 86400).cast("int")).cast("string").alias("day"), "event_type", "n")
 
 
 QUERIES = {"stream_upsert": stream_upsert, "stream_windows": stream_windows}
