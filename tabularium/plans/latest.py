@@ -14,13 +14,13 @@ def stale_rows(df: DataFrame, keys: list[str], order: list[Column], row: str) ->
     ``order`` sort before every value, so an undated row loses against a dated one; null keys form one group.
     """
     newest = (
-        df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-        .agg(F.max(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(row).alias("r"))).alias("_top"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .select(*[f"_k{i}" for i in range(len(keys))], F.col("_top.r").alias("_keep"))
+        df.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)])
+        .agg(F.max(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(row).alias("r"))).alias("__top"), F.count(F.lit(1)).alias("__n"))
+        .where("__n > 1")
+        .select(*[f"__key{i}" for i in range(len(keys))], F.col("__top.r").alias("__keep"))
     )
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    return df.join(newest, match & (F.col(row) != F.col("_keep")), "inner").select(row)
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)])
+    return df.join(newest, match & (F.col(row) != F.col("__keep")), "inner").select(row)
 
 
 def latest_rows(df: DataFrame, keys: list[str], order: list[Column], row: str) -> DataFrame:
