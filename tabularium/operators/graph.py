@@ -101,7 +101,7 @@ def vector_topk(vectors: DataFrame, key: str, vector: str, query: list[float], k
     q = F.array(*[F.lit(float(x)) for x in query])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     v = F.col(vector)
-    rows = vectors.where(v.isNotNull() & (F.size(v) == len(query))).select(key, (dot(v, q) / (F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))).alias("similarity"))
+    rows = vectors.where(v.isNotNull() & (F.size(v) == len(query))).select(key, F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))).alias("similarity"))
     rows = rows.where(F.col("similarity").isNotNull() & ~F.isnan("similarity")).withColumn("similarity", F.round("similarity", 6))
     return rows.withColumn("score", F.round((1 + F.col("similarity")) / 2, 6)).orderBy(F.desc("similarity"), key).limit(k)
 
