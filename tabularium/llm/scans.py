@@ -330,7 +330,11 @@ def fit_scan_repair(texts: DataFrame) -> ScanRepair:
 
 
 def repair_texts(df: DataFrame, repairer: ScanRepair) -> DataFrame:
-    """``df`` with ``text`` repaired and the number of traces in ``n_traces``; null and empty texts have none."""
+    """``df`` with ``text`` repaired and the number of traces in ``n_traces``; null and empty texts have none.
+
+    A column ``n_traces`` of the input is replaced.
+    """
+    df = df.drop("n_traces")
     shared = df.sparkSession.sparkContext.broadcast(repairer)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

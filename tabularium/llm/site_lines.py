@@ -51,12 +51,15 @@ def repeated_lines(df: DataFrame, source: str, document: str, text: str, row: st
 
 
 def drop_repeated_lines(df: DataFrame, source: str, document: str, text: str, row: str, **limits) -> DataFrame:
-    """``df`` with repeated lines gone from ``text`` and their number in ``n_removed``; other rows are untouched."""
-    out = repeated_lines(df, source, document, text, row, **limits).groupBy(row).agg(F.collect_set("line_no").alias("_out"))
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_out", i + 1)), "\n")
+    """``df`` with repeated lines gone from ``text`` and their number in ``n_removed``; other rows are untouched.
+
+    A column ``n_removed`` of the input is replaced; a null text stays null.
+    """
+    out = repeated_lines(df, source, document, text, row, **limits).groupBy(row).agg(F.collect_set("line_no").alias("__out"))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("__out", i + 1)), "\n")
     joined = df.join(out, row, "left")
-    columns = [F.when(F.col("_out").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in df.columns]
-    return joined.select(*columns, F.coalesce(F.size("_out"), F.lit(0)).alias("n_removed"))
+    columns = [F.when(F.col("__out").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in df.columns if c != "n_removed"]
+    return joined.select(*columns, F.coalesce(F.size("__out"), F.lit(0)).alias("n_removed"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:

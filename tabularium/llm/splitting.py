@@ -54,9 +54,9 @@ def split_oversized(df: DataFrame, text: str = "content", part: str = "part", li
     """Every row of ``df``; oversized ones come out as several rows with their pieces numbered from 1 in ``part``.
 
     All other columns (``article_number`` among them) are kept on each piece. Rows within the limit, empty and null
-    texts pass unchanged with their own ``part`` (null if there was none).
+    texts pass unchanged with their own ``part`` (null if there was none). A column ``was_split`` of the input is replaced.
     """
-    columns = [c for c in df.columns if c not in (text, part)]
+    columns = [c for c in df.columns if c not in (text, part, "was_split")]
     number = F.col(part) if part in df.columns else F.lit(None).cast("int")
     at, piece = "__at", "__piece"
     cut = df.select(*columns, number.alias(part), F.length(text).alias("__len"), F.posexplode_outer(pieces(F.col(text), limit, overlap)).alias(at, piece))
