@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabularium.llm.words import slices
 from tabularium.sources.tables import table
 
-#: A letter is native if it makes up this share of the letters of its alphabet, and the alphabet this share of all.
-NATIVE, HOME = 1 / 2000, 1 / 100
+#: A letter is native if it makes up this share of the letters of its alphabet and, against the commonest look-alike of
+#: its own alphabet, the second share; an alphabet is at home if it makes up the third share of all letters.
+NATIVE, BESIDE, HOME = 1 / 2000, 1 / 100, 1 / 100
 #: Decompositions whose two sides look alike (tags of the Unicode character database, fixed values).
 FORMS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<font>")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -80,7 +81,13 @@ class LookAlikes:
         for c, n in letters.items():
             total[script(c)] += n
         home = {s for s, n in total.items() if n >= HOME * sum(total.values())}
-        self.native = {c for c, n in letters.items() if script(c) in home and (n >= NATIVE * total[script(c)] or c.isascii())}
+        alike = UnionFind()  # letters: one skeleton, one class
+        for c in letters:
+            if skeletons.get(c):
+                alike.union(c, "=" + skeletons[c])
+        self.alike = {c: [x for x in members if x[0] != "="] for members in alike.classes() for c in members if c[0] != "="}
+        often = lambda c: max(letters[x] for x in self.alike.get(c, [c]) if script(x) == script(c))
+        self.native = {c for c, n in letters.items() if script(c) in home and (n >= NATIVE * total[script(c)] and n >= BESIDE * often(c) or c.isascii())}
         # strings: a form and its plain string, a detached accent and its composed letter
         strings, self.rules = UnionFind(), {}
         for c in counts:
@@ -100,12 +107,6 @@ class LookAlikes:
                 if s != best and (len(s) > 1 and U.combining(s[-1]) or s in self.rules):
                     self.rules[s] = best
         self.marks = set(marks)
-        # letters: one skeleton, one class
-        alike = UnionFind()
-        for c in letters:
-            if skeletons.get(c):
-                alike.union(c, "=" + skeletons[c])
-        self.alike = {c: [x for x in members if x[0] != "="] for members in alike.classes() for c in members if c[0] != "="}
         self.cache: dict[tuple[str, str], str | None] = {}
         rare = set(letters) - self.native
         self.foreign = {c for c in rare if script(c) not in home or self.counterpart(c, script(c))}
