@@ -97,7 +97,7 @@ def test_learned_partitions_recall(spark):
     true = {tuple(sorted((i, j))) for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
     df = neighbours.unit_vectors(vectors_frame(spark, x.tolist()), "id", "v", "t", 32)
     index = neighbours.VectorIndex(df, 32, 0.9, part=256)
-    assert index.parts > 8 and index.probes < index.parts
+    assert index.parts > 8 and index.routed(df, index.margin).count() < index.parts * 4200 / 2
     got = {tuple(sorted((int(r.a[1:]), int(r.b[1:])))) for r in index.pairs(5, 0.9).collect()}
     assert len(got & true) / len(true) >= 0.95 and len(got & true) / len(got) >= 0.95
 
