@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabularium.functions.segment import cut_before, packed_paragraphs
 from tabularium.functions.text import table_prose
-from tabularium.operators import chunkers, report, tables
+from tabularium.operators import chunkers, report, running, tables
 from tabularium.sources.tables import table
 
 HEAD = r"(?m)^Art\. [0-9]+"
@@ -32,16 +32,15 @@ def packed_articles(spark: SparkSession, root: str) -> DataFrame:
 
 def carry_forward(spark: SparkSession, root: str) -> DataFrame:
     """The section title that was last seen in the file's delivery order."""
-    w = Window.partitionBy("filename").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, root, "index_chunk").select("row_no", "filename", F.last("section_title", True).over(w).alias("carried_title"))
+    rows = table(spark, root, "index_chunk").select("row_no", "filename", "section_title")
+    return running.carried(rows, "filename", "row_no", "section_title", "carried_title").drop("section_title")
 
 
 def offset_to_page(spark: SparkSession, root: str) -> DataFrame:
     """Character range of each chunk in its file when joined by empty lines."""
-    w = Window.partitionBy("filename").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = table(spark, root, "index_chunk").select("row_no", "filename", "page_number", F.coalesce(F.length("content"), F.lit(0)).alias("n"))
-    high = F.sum(F.col("n") + 2).over(w)
-    return rows.select("row_no", "page_number", (high - F.col("n") - 2).alias("lo"), high.alias("hi"))
+    rows = running.running_sum(rows, "filename", "row_no", F.col("n") + 2, "hi")
+    return rows.select("row_no", "page_number", (F.col("hi") - F.col("n") - 2).alias("lo"), "hi")
 
 
 def asof_article(spark: SparkSession, root: str) -> DataFrame:

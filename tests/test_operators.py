@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import Row, functions as F
 
-from tabularium.operators import chunkers, graph, report, search, tables
+from tabularium.operators import chunkers, graph, report, running, search, tables
 from tabularium.operators.components import connected_components
 from tabularium.plans.latest import latest_rows
 from tabularium.plans.staging import staged
@@ -127,6 +127,15 @@ def test_latest_rows_and_clashing_names(spark):
     assert latest_rows(df.limit(0), ["k"], [F.col("at")], "row_no").count() == 0
 
 
+def test_running_values_cross_blocks(spark):
+    df = spark.createDataFrame([(i, "g" if i % 3 else None, f"t{i}" if i % 7 == 0 else None) for i in range(100)], "i int, g string, t string")
+    sums = {r.i: r.s for r in running.running_sum(df, "g", "i", F.when(F.col("i") > 0, F.col("i")), "s", block=8).collect()}
+    held = {r.i: r.c for r in running.carried(df, "g", "i", "t", "c", block=8).collect()}
+    for i in range(100):
+        same = [j for j in range(i + 1) if bool(j % 3) == bool(i % 3)]
+        assert sums[i] == sum(same) and held[i] == next((f"t{j}" for j in reversed(same) if j % 7 == 0), None)
+
+
 def test_connected_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (5, 5), (None, 1)], "a int, b int")
     got = {r.node: r.component for r in connected_components(edges, "a", "b").collect()}
