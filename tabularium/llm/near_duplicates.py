@@ -116,6 +116,7 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 large = None
         if len(band) - cut > BUCKET:  # an open bucket that is already large goes out as it comes
             members = np.unique(k[cut:])
+            band, k = np.concatenate([band[:cut], np.full(len(members), band[-1])]), np.concatenate([k[:cut], members])
             if len(members) > BUCKET or large == band[-1]:
                 large = int(band[-1])
                 out.append((members, np.full(len(members), large, np.int64), np.ones(len(members), bool)))
@@ -184,18 +185,21 @@ class NearDuplicates:
         rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
         signed = staged(rows.mapInArrow(_sign(words, bands, counted), f"_key {kind}, k1 bigint, k2 bigint, packed array<bigint>"), "signatures")
         self.key, self.members = key, signed.select(F.col("_key").alias(key), "k1", "k2")
-        exploded = signed.select("k1", F.posexplode("packed").alias("at", "band")).select(F.xxhash64("at", "band").alias("band"), "k1")
+        # copies are counted with a map-side combine and leave before anything is exploded: one row stands for a class
+        sizes = signed.groupBy("k1", "k2").agg(F.min("_key").alias("face"), F.count(F.lit(1)).alias("n"))
+        self.classes = staged(sizes.where("n > 1"), "classes")
+        spare = signed.select("_key", "k1", "k2").join(self.classes, ["k1", "k2"]).where("_key <> face").select("_key")
+        faces = signed.join(spare, "_key", "left_anti")
+        exploded = faces.select("k1", F.posexplode("packed").alias("at", "band")).select(F.xxhash64("at", "band").alias("band"), "k1")
         paired = staged(exploded.repartition("band").sortWithinPartitions("band").mapInArrow(_pair_up, "a bigint, b bigint, large boolean"), "buckets")
         candidates = paired.where("NOT large").select("a", "b")
         large = paired.where("large").select("a", "b")
         if large.limit(1).count():
             candidates = candidates.unionAll(_blocks(large))
         candidates = candidates.distinct()
-        # one row of each class stands for it
-        faces = signed.groupBy("k1", "k2").agg(F.min_by(F.struct("_key", F.slice("packed", 1, min(SCREEN, bands)).alias("packed")), "_key").alias("f")).select("k1", "k2", F.col("f._key").alias("_key"), F.col("f.packed").alias("packed"))
         compared = min(SCREEN, bands) * ROWS
         least = max(0.0, similarity - 3.5 * (similarity * (1 - similarity) / compared) ** 0.5) * compared
-        a, b = (faces.select(F.col("k1").alias(s), F.col("k2").alias(f"{s}2"), F.col("_key").alias(f"{s}_key"), F.col("packed").alias(f"{s}_packed")) for s in "ab")
+        a, b = (faces.select(F.col("k1").alias(s), F.col("k2").alias(f"{s}2"), F.col("_key").alias(f"{s}_key"), F.slice("packed", 1, min(SCREEN, bands)).alias(f"{s}_packed")) for s in "ab")
         near = staged(candidates.join(a, "a").join(b, "b").where(_agreement(F.col("a_packed"), F.col("b_packed")) >= least).select(F.col("a").alias("a1"), F.col("a2"), "a_key", F.col("b").alias("b1"), F.col("b2"), "b_key"), "near")
         wanted = near.select(F.col("a_key").alias("_key"), F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionAll(near.select("b_key", "b1", "b2")).distinct()
         sets = rows.join(wanted, "_key").select("k1", "k2", "_text").mapInArrow(_sets(words), "k1 bigint, k2 bigint, items array<bigint>")
@@ -211,7 +215,7 @@ class NearDuplicates:
         alone carries the links of the class.
         """
         k = self.key
-        sizes = self.members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(k).alias("face")).where("n > 1")
+        sizes = self.classes
         copies = self.members.join(sizes, ["k1", "k2"])
         small = copies.where(F.col("n") <= COPIES)
         inner = small.select("k1", "k2", F.col(k).alias("a")).join(small.select("k1", "k2", F.col(k).alias("b")), ["k1", "k2"]).where("a < b")

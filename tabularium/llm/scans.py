@@ -160,6 +160,7 @@ class ScanRepair:
         self.editor = CharacterEditor()
         self.editor.train(lessons_from(lexicon))
         self.letters = {c for w in lexicon for c in w if c.isalpha()}
+        self.longest = max(map(len, lexicon), default=0)
         self.fixed: dict[str, str | None] = {}
         self.fine: dict[str, bool] = {}
 
@@ -186,7 +187,7 @@ class ScanRepair:
         if low not in self.fixed:
             if len(self.fixed) > 500_000:
                 self.fixed.clear()
-            best = next((c for c in self.editor.candidates(low) if c != low and self.lexicon.get(c, 0) >= self.sure), None) if len(low) <= 40 else None
+            best = next((c for c in self.editor.candidates(low) if c != low and self.lexicon.get(c, 0) >= self.sure), None) if len(low) <= 2 * self.longest else None  # an edit halves a word at most
             self.fixed[low] = best
         best = self.fixed[low]
         if best is None:

@@ -184,6 +184,27 @@ def test_a_third_of_equal_texts_stays_linear(spark):
     assert near_duplicates.NearDuplicates(spark.createDataFrame([], "id string, text string"), "id", "text").pairs().count() == 0
 
 
+def test_sorted_buckets_are_paired_in_any_batches(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BUCKET", 5)
+    rng = np.random.default_rng(12)
+    band = np.sort(np.concatenate([rng.integers(0, 40, 150), np.full(60, 17), np.full(30, 39)]))
+    k = rng.integers(0, 50, len(band))
+    for size in (1, 3, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(band[i : i + size]), pa.array(k[i : i + size])], names=["band", "k1"]) for i in range(0, len(band), size)]
+        pairs, large = set(), {}
+        for out in near_duplicates._pair_up(iter(batches)):
+            for a, b, is_large in zip(*(c.to_pylist() for c in out.columns)):
+                large.setdefault(b, set()).add(a) if is_large else pairs.add((a, b))
+        want = set()
+        for key in np.unique(band):
+            members = sorted({int(x) for x in k[band == key]})
+            if len(members) > 5:
+                assert large.pop(int(key)) == set(members)
+            else:
+                want |= {(a, b) for i, a in enumerate(members) for b in members[i + 1 :]}
+        assert pairs == want and not large
+
+
 def test_large_buckets_are_paired_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BUCKET", 8)
     base = text_of(60, np.random.default_rng(6)).split()
