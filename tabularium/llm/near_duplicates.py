@@ -177,7 +177,7 @@ class NearDuplicates:
 
     ``members``: ``(key, k1, k2)``, one row per record with shingles; ``k1, k2`` identify its class (128 bits of its
     shingle set). ``links``: ``(a1, a2, b1, b2, similarity)`` between different classes. Records with null, empty or
-    too short texts have no shingles and belong to neither.
+    too short texts have no shingles and belong to neither; repeated rows of a key count once.
     """
 
     def __init__(self, df: DataFrame, key: str, text: str, words: int = 5, similarity: float = 0.8, bands: int = 20, counted: bool = False):
@@ -206,7 +206,7 @@ class NearDuplicates:
         x, y = (sets.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("items").alias(i)) for s, i in (("a", "x"), ("b", "y")))
         joined = near.select("a1", "a2", "b1", "b2").join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
         checked = joined.mapInArrow(_common, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
-        self.links = staged(checked.where(F.col("similarity") >= similarity), "links")
+        self.links = staged(checked.where(F.col("similarity") >= similarity).distinct(), "links")
 
     def pairs(self) -> DataFrame:
         """``(a, b, similarity)`` with a < b: links between the members of two classes and within a class.
@@ -224,7 +224,7 @@ class NearDuplicates:
         shown = self.members.join(ends, ["k1", "k2"]).join(sizes, ["k1", "k2"], "left").where(F.coalesce(F.col("n") <= COPIES, F.lit(True)) | (F.col(k) == F.col("face")))
         x, y = (shown.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col(k).alias(s)) for s in "ab")
         across = self.links.join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
-        return across.unionAll(inner.unionAll(star).select("a", "b", F.lit(1.0)))
+        return across.unionAll(inner.unionAll(star).select("a", "b", F.lit(1.0))).where("a <> b").distinct()
 
     def groups(self) -> DataFrame:
         """``(key, group_id, n_links)`` of every record: the component of its class, and the links of its class."""

@@ -166,9 +166,11 @@ def test_near_duplicates_against_brute_force(spark):
                 x[int(rng.integers(len(x)))] = "autre"
             texts[f"a{i}_{j}"] = " ".join(x)
     texts |= {"null": None, "empty": "", "two": "un deux"}
-    df = spark.createDataFrame(list(texts.items()), "id string, text string").withColumn("k1", F.lit("clash")).withColumn("_key", F.lit(1))
+    df = spark.createDataFrame([*texts.items(), ("a0", texts["a0"]), ("a1_0", texts["a1_0"])], "id string, text string").withColumn("k1", F.lit("clash")).withColumn("_key", F.lit(1))
     found = near_duplicates.NearDuplicates(df, "id", "text", words=3, similarity=0.5, bands=40)
-    got, want = {(r.a, r.b) for r in found.pairs().collect()}, brute_pairs(texts, 3, 0.5)
+    rows = found.pairs().collect()
+    got, want = {(r.a, r.b) for r in rows}, brute_pairs(texts, 3, 0.5)
+    assert len(rows) == len(got)
     assert got <= want and len(got) >= 0.98 * len(want)
     groups = {r.id: r.group_id for r in found.groups().collect()}
     assert all(groups[a] == groups[b] for a, b in got) and "null" not in groups and len(groups) == len(texts) - 3
