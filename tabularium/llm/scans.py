@@ -53,6 +53,7 @@ _QUICK = (
     r"(?:^|[^\p{L}\p{M}\d@|])[\p{L}\d@|] [\p{L}\d@|] [\p{L}\d@|](?:[^\p{L}\p{M}\d@|]|$)",
     rf"(?m)^[ \t]*(?:{_PAGE}|{_NUMBER}|{_HEAD})[ \t]*$",
     r"(?m)^[ \t]*(?:[Pp]age \d{1,4} |\d{1,4}  )\p{Lu}|\([Ss][Uu][Ii][Tt][Ee]\)[ \t]*$|\p{L}  +\d{1,4}[ \t]*$|\p{Lu}{3} (?:—|/|\|) \p{Lu}",
+    r"(?m)^[^:\n]{1,40}: ?\d{1,4}\.?[ \t]*$",
     r"[:.] ?(?:[\[—–-] ?\d{1,4} ?[\]—–-]|[Pp](?:age|\.) ?\d)",
 )
 
@@ -389,11 +390,14 @@ def repair_cells(own: ScanRepair, text: str) -> tuple[str, int]:
 def _prose(own: ScanRepair, text: str) -> tuple[str, int]:
     """Lines of a prose whose only cell is page furniture go; the rest is repaired as text."""
     lines = text.split("\n")
-    keep = [x for x in lines if not _PROSE_PAGE.fullmatch(x)]
+    opens = Counter(m.group() for x in lines if (m := _PROSE_KEY.match(x)))
+    first = max(opens, key=opens.get) if opens else ""  # the name of the first column opens nearly every line
+    keep = [x for x in lines if not _PROSE_PAGE.fullmatch(x) and not (first and len(lines) > 1 and x.startswith(first) and NUMBER.fullmatch(x[len(first) :].rstrip(" .")))]
     fixed, n = own.repair("\n".join(keep))
     return fixed, n + len(lines) - len(keep)
 
 
+_PROSE_KEY = regex.compile(r"[^:\n]{1,40}: *")
 _PROSE_PAGE = regex.compile(rf"[ \t]*[^:\n]{{1,40}}: *(?:{_PAGE}|{_HEAD}) *\.?[ \t]*")
 
 
