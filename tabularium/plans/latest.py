@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabularium.plans.staging import staged
+
 
 def stale_rows(df: DataFrame, keys: list[str], order: list[Column], row: str) -> DataFrame:
     """The values of ``row`` that are not the latest of their ``keys``.
@@ -26,7 +28,7 @@ def stale_rows(df: DataFrame, keys: list[str], order: list[Column], row: str) ->
 def latest_rows(df: DataFrame, keys: list[str], order: list[Column], row: str) -> DataFrame:
     """Rows of ``df`` that are the latest of their keys; ``row`` must be unique.
 
-    Re-deliveries are the exception in delivery logs, so the stale minority is anti-joined away (broadcast by the
-    adaptive planner while it is small, shuffled on the narrow ``row`` key otherwise).
+    Re-deliveries are the exception in delivery logs, so the stale minority is anti-joined away. It is staged first:
+    its size is then known when the join is planned, and the payload is only shuffled where it can't be broadcast.
     """
-    return df.join(stale_rows(df, keys, order, row), row, "left_anti")
+    return df.join(staged(stale_rows(df, keys, order, row), "stale"), row, "left_anti")
