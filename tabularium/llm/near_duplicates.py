@@ -27,6 +27,8 @@ ROWS = 4
 SCREEN = 12
 #: Members of a bucket that one task pairs; larger buckets are paired in salted blocks of this size.
 BUCKET = 256
+#: Bytes of keys up to which the records to verify are picked by broadcast.
+BROADCAST = 16 << 20
 #: Copies of one text that are expanded into pairs; larger groups are linked to their first member.
 COPIES = 64
 
@@ -202,6 +204,9 @@ class NearDuplicates:
         a, b = (faces.select(F.col("k1").alias(s), F.col("k2").alias(f"{s}2"), F.col("_key").alias(f"{s}_key"), F.slice("packed", 1, min(SCREEN, bands)).alias(f"{s}_packed")) for s in "ab")
         near = staged(candidates.join(a, "a").join(b, "b").where(_agreement(F.col("a_packed"), F.col("b_packed")) >= least).select(F.col("a").alias("a1"), F.col("a2"), "a_key", F.col("b").alias("b1"), F.col("b2"), "b_key"), "near")
         wanted = near.select(F.col("a_key").alias("_key"), F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionAll(near.select("b_key", "b1", "b2")).distinct()
+        wanted = staged(wanted, "wanted")
+        bulk = wanted.agg(F.coalesce(F.sum(32 + F.octet_length(F.col("_key").cast("string"))), F.lit(0))).first()[0]
+        wanted = F.broadcast(wanted) if bulk <= BROADCAST else wanted  # else the texts are shuffled to their keys
         sets = rows.join(wanted, "_key").select("k1", "k2", "_text").mapInArrow(_sets(words), "k1 bigint, k2 bigint, items array<bigint>")
         x, y = (sets.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("items").alias(i)) for s, i in (("a", "x"), ("b", "y")))
         joined = near.select("a1", "a2", "b1", "b2").join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
