@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Texts are taken in slices of about this many bytes, which bounds the memory of the intermediate strings.
 SLICE_BYTES = 4 << 20
+#: Bits of a key that number the texts of a batch; the other 40 hold the hash.
+OWNER_BITS = 24
 #: Odd multiplier of the golden ratio for mixing (fixed value).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,10 +82,12 @@ def runs(flat: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 def distinct_runs(hashes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes of each text in order of text, their texts, and how often each occurs.
 
-    Keys hold the text in the high bits, so one sort serves the batch; at least 44 bits of hash remain for batches of
-    up to a million texts.
+    Keys hold the text in the high ``OWNER_BITS``, so one sort serves the batch. Always so many low bits of a hash are
+    dropped, so a run has the same value in a batch of any size.
     """
-    bits = np.uint64(max(1, int(texts).bit_length()))
+    if texts >> OWNER_BITS:
+        raise ValueError(f"a batch of {texts} texts: at most {1 << OWNER_BITS} can be told apart")
+    bits = np.uint64(OWNER_BITS)
     keys = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits)
     keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)

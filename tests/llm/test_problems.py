@@ -154,6 +154,20 @@ def brute_pairs(texts, n, least):
     return {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
 
 
+def test_shingles_and_classes_do_not_depend_on_the_batch():
+    texts = [text_of(40) for _ in range(300)]
+    sign = near_duplicates._sign(3, 4, False)
+    alone = {}
+    for size in (1, 7, 300):
+        batches = [pa.record_batch({"_key": pa.array(range(i, min(i + size, 300))), "_text": pa.array(texts[i : i + size])}) for i in range(0, 300, size)]
+        got = {r["_key"]: r for out in sign(iter(batches)) for r in out.to_pylist()}
+        assert len(got) == 300 and got == (alone := alone or got)
+        sets = [near_duplicates._shingles(b.column("_text"), 3) for b in batches]
+        assert set(np.concatenate([s[0] for s in sets])) == set(near_duplicates._shingles(pa.array(texts), 3)[0])
+    with pytest.raises(ValueError):
+        words.distinct_runs(np.zeros(1, np.uint64), np.zeros(1, np.int64), 1 << words.OWNER_BITS)
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = np.random.default_rng(3)
     texts = {}
