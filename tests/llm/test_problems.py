@@ -102,6 +102,17 @@ def test_learned_partitions_recall(spark):
     assert len(got & true) / len(true) >= 0.95 and len(got & true) / len(got) >= 0.95
 
 
+def test_ten_nearest_at_any_cosine(spark, tmp_path):
+    x = np.random.default_rng(8).standard_normal((6000, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit[::20] @ unit.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -1
+    true = {(20 * i, int(j)) for i, row in enumerate(s) for j in np.argsort(-row)[:10]}
+    got = {(r.vec_id, r.other_id) for r in neighbours.p4_vectors(spark, str(tmp_path)).collect()}
+    assert len(got) == 3000 and len(got & true) / len(true) >= 0.9
+
+
 def test_unusable_vectors_and_hot_copies(spark):
     good = [1.0, 0.0, 0.0, 0.0]
     rows = [[*good], [0.0] * 4, [float("nan"), 1.0, 0.0, 0.0], [1.0], None, [1.0, None, 0.0, 0.0], [float("inf"), 0.0, 0.0, 0.0], [1e-30, 1e-31, 0.0, 0.0]] + [[0.0, 2.0, 0.0, 0.0]] * 100 + [[0.0, 1.0, 0.01, 0.0]]
