@@ -10,6 +10,7 @@ from tabularium.operators import graph
 from tabularium.plans.latest import latest_rows
 from tabularium.sources.tables import table
 
+#: The concepts to which the SQL below is limited; the queries take all mentions.
 PLAIN_CONCEPTS = ("taux", "base", "retenue", "contribution", "versement")
 
 
@@ -29,6 +30,11 @@ def same_page_links(spark: SparkSession, root: str) -> DataFrame:
     return graph.same_page_rows(_chunks(spark, root).where("page_num > 0")).select("id", "page_key", "n_links")
 
 
+def _named(spark: SparkSession, root: str) -> DataFrame:
+    """All mentions whose entity has a name; others make no node."""
+    return graph.mentions(_chunks(spark, root)).where("entity_name <> ''")
+
+
 def graph_mentions(spark: SparkSession, root: str) -> DataFrame:
     return graph.mentions(_chunks(spark, root))
 
@@ -38,9 +44,8 @@ def graph_entities(spark: SparkSession, root: str) -> DataFrame:
 
 
 def graph_concepts(spark: SparkSession, root: str) -> DataFrame:
-    """Concept nodes whose names both regex dialects bound alike, with the chunks that mention them."""
-    m = graph.mentions(_chunks(spark, root)).where(F.col("entity_name").isin(*PLAIN_CONCEPTS))
-    return graph.entity_nodes(m)
+    """Concept nodes with the number of chunks that mention them."""
+    return graph.entity_nodes(_named(spark, root).where("type = 'tax_concept'"))
 
 
 _CONCEPTS_SQL = " UNION ALL ".join(
@@ -50,7 +55,7 @@ _CONCEPTS_SQL = " UNION ALL ".join(
 
 def graph_expand(spark: SparkSession, root: str) -> DataFrame:
     chunks = _chunks(spark, root)
-    return graph.expand(graph.mentions(chunks).where(F.col("entity_name").isin(*PLAIN_CONCEPTS)), chunks, ["RETENUE", "taux"], 200).select("id", "doc_name", "page_num", "score")
+    return graph.expand(_named(spark, root), chunks, ["RETENUE", "taux"], 200).select("id", "doc_name", "page_num", "score")
 
 
 _EXPAND_SQL = f"""SELECT id, doc_name, page_num, 1.0::DOUBLE AS score FROM {_CHUNKS_SQL}
@@ -109,8 +114,8 @@ _AUDIT_SQL = " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER ({c} IS
 
 
 def rel_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Edges by relation: concept mentions and same-page pairs, most first."""
-    m = graph.mentions(_chunks(spark, root)).where(F.col("entity_name").isin(*PLAIN_CONCEPTS)).select("entity_name", "chunk_id").distinct()
+    """Edges by relation: mentions of all entities and same-page pairs, most first."""
+    m = _named(spark, root).select("entity_name", "chunk_id").distinct()
     both = m.select(F.lit("MENTIONED_IN").alias("rel")).unionAll(same_page_pairs(spark, root).select(F.lit("SAME_PAGE")))
     return both.groupBy("rel").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
 

@@ -212,3 +212,15 @@ def test_queries_agree_with_their_sql(spark, sf):
             have = [d[0] for d in cur.description]
             assert sorted(have) == cols, name
             assert sorted((tuple(norm(dict(zip(have, r))[c]) for c in cols) for r in cur.fetchall()), key=repr) == got, name
+
+
+def test_graph_queries_take_all_mentions(spark, tmp_path):
+    from tabularium.plans import knowledge
+
+    texts = {"a": "Le taux de la TVA est de 19 %.", "b": "L'article 12 du code fixe la retenue.", "c": "Voir article 7 du régime des retenues.", "d": "Rien ici.", "e": "La pénalité suit le taux."}
+    rows = [(k, t, "doc", p, "text", "code", "", "") for p, (k, t) in enumerate(texts.items(), 1)]
+    spark.createDataFrame(rows, "id string, text string, doc_name string, page_num int, chunk_type string, doc_type string, article_ref string, section_title string").write.parquet(f"{tmp_path}/graph_chunk.parquet")
+    # a: TVA, taux, 19 19 %; b: retenue, article, cross reference; c: article, cross reference; e: pénalité, taux
+    assert {(r.rel, r.n) for r in knowledge.rel_counts(spark, str(tmp_path)).collect()} == {("MENTIONED_IN", 10)}
+    assert {(r.name, r.n_chunks) for r in knowledge.graph_concepts(spark, str(tmp_path)).collect()} == {("TVA", 1), ("taux", 2), ("retenue", 1), ("pénalité", 1)}
+    assert [r.id for r in knowledge.graph_expand(spark, str(tmp_path)).collect()] == ["a", "b", "c", "e"]
