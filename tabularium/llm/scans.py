@@ -41,6 +41,8 @@ _NUMBER = r"\d{1,4}"
 _TITLE = r"[\p{L}\d@|][\p{L}\p{M}\d@|'’\- ]{3,70}"
 _HEAD = rf"(?:(?:[Pp]age )?\d{{1,4}} {{1,4}})?\p{{Lu}}{_TITLE} (?:—|/|\||-) {_TITLE}(?: \([Ss][Uu][Ii][Tt][Ee]\))?(?: {{1,4}}\d{{1,4}})?"
 PAGE, NUMBER, HEAD = (regex.compile(rf"[ \t]*{p}[ \t]*") for p in (_PAGE, _NUMBER, _HEAD))
+#: The two lines of a page number that was wrapped.
+PAGE_SIGN, PAGE_REST = regex.compile(r"[ \t]*[Pp](?:age|\.)[ \t]*"), regex.compile(r"[ \t]*\d{1,4}(?:\s*(?:/|sur)\s*\d{1,4})?[ \t]*")
 CUT = regex.compile(r"([\p{L}\d@|]+)([-¬])[ \t]*\n\s*([\p{L}\d@|]+)")
 SPACED = regex.compile(r"(?<![\p{L}\p{M}\d@|])[\p{L}\d@|](?: [\p{L}\d@|]){2,}(?![\p{L}\p{M}\d@|])")
 WORD = regex.compile(r"(?:[\p{L}\p{M}\d@]|(?<=[\p{L}\d@])\||\|(?=[\p{L}\d@]))+")
@@ -227,10 +229,15 @@ class ScanRepair:
 
     @staticmethod
     def furniture(lines: list[str]) -> set[int]:
-        """Lines that are page numbers or running heads: by form, and standing amid an unfinished sentence."""
+        """Lines that are page numbers or running heads: by form, and standing amid an unfinished sentence.
+
+        Forms that only a page number has need no sentence, just text before and after.
+        """
         form = [2 if PAGE.fullmatch(x) else 1 if NUMBER.fullmatch(x) or is_head(x) else 0 for x in lines]
         for i in range(len(lines) - 1):  # a head that was wrapped, known by its page number, mark or capitals
-            if not form[i] and not form[i + 1]:
+            if not form[i] and PAGE_SIGN.fullmatch(lines[i]) and PAGE_REST.fullmatch(lines[i + 1]):
+                form[i] = form[i + 1] = 2
+            elif not form[i] and not form[i + 1]:
                 both = f"{lines[i].rstrip()} {lines[i + 1].strip()}"
                 if len(both) < 150 and is_head(both) and (_MARKED.search(both) or both.isupper()):
                     form[i] = form[i + 1] = 1
@@ -244,7 +251,9 @@ class ScanRepair:
                 continue  # a row of a table
             starts = after.strip()[:1]
             amid = bool(before) and not OPEN_END.search(before) or bool(before) and starts.islower()
-            if amid and (after or f == 2):
+            cell = "|" in lines[i] and ("|" in before or "|" in after)
+            between = f == 2 and not cell and bool(before) and bool(after) and any(c.isalpha() for c in before + after)
+            if amid and (after or f == 2) or between:
                 out.add(i)
         return out
 

@@ -262,6 +262,17 @@ def repairer(spark):
     return scans.fit_scan_repair(spark.createDataFrame([(CLEAN * 60,), (None,), ("",)], "text string"))
 
 
+def test_page_numbers_between_whole_sentences_go(repairer):
+    for number in ("[776]", "- 654 -", "Page 496", "p.\n681/706", "Page\n12 sur 40"):
+        for end, start in ((".", "La"), (":", "La"), ("", "La")):
+            assert repairer.furniture([f"La commune verse{end}", *number.split("\n"), f"{start} société dépose"]) == set(range(1, 2 + number.count("\n"))), number
+        got, n = repairer.repair(f"La commune verse.\n{number}\nLa société dépose.")
+        assert n and got == "La commune verse.\nLa société dépose."
+    assert repairer.furniture(["يدفع المكلف.", "[12]", "تودع الشركة."]) == {1}
+    for lines in (["La commune verse.", "1998", "La société dépose."], ["12", "- 3 -", "15"], ["Taux | 5.", "12 |", "Base | 7"], ["- 3 -", "La société"], ["La commune p.", "La société"]):
+        assert not repairer.furniture(lines)
+
+
 def test_traces_of_scans_are_repaired(repairer):
     cases = {
         "la décla-\nration annuelle": "la déclaration annuelle", "la décla¬\n  ration annuelle": "la déclaration annuelle", "la c o m m u n e dépose": "la commune dépose",
