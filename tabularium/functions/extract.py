@@ -26,6 +26,7 @@ CHAPTER_REF = r"(?:chapitre|chap\.?)\s+(?:PREMIER|I{1,3}V?|VI{0,3}|\d+)"
 SECTION_REF = r"(?:section|sec\.?)\s+(?:\d+|I{1,3}V?|VI{0,3})"
 AMOUNT = {"code": r"(\d+(?:[.,]\d+)?)\s*(?:%|pour-?cent|dinars?|DT|d\.?\s?t\.?)", "convention": r"(\d+(?:[.,]\d+)?)\s*(?:%|pour-?cent)"}
 CROSS_REF = r"(?:article|art\.?)\s+(\w+)\s+(?:du|de|la|l['´])\s+([^.]+?)(?:\.|,|;)"
+LEGAL_TERM = {"code": r"(?:au sens|means?|d[ée]nomm[ée]|appel[ée])\s+[«\"]?([^«»\n.]{3,100})[»\"]?", "convention": r"(?:au sens|means?)\s+[«\"]?([^«»\n.]{3,100})[»\"]?"}
 DATE = r"(?:du|de|au|le)\s+(\d{1,2})\s+(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre)\s+(\d{4})"
 
 
@@ -50,6 +51,11 @@ def section_refs(text: Column) -> Column:
     return F.slice(F.array_distinct(_all(text, SECTION_REF)), 1, 5)
 
 
+def legal_terms(text: Column, kind: str = "code") -> Column:
+    """What a text defines, distinct, at most 10."""
+    return F.slice(F.array_distinct(_all(text, LEGAL_TERM[kind], 1)), 1, 10)
+
+
 def cross_refs(text: Column) -> Column:
     """``Art. N target``, distinct, at most 15."""
     pairs = F.zip_with(_all(text, CROSS_REF, 1), _all(text, CROSS_REF, 2), lambda a, b: F.concat(F.lit("Art. "), a, F.lit(" "), b))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
-from tabularium.functions.extract import article_key, concepts, cross_refs, article_refs, chapter_refs, section_refs, thresholds
+from tabularium.functions.extract import article_key, concepts, cross_refs, article_refs, chapter_refs, legal_terms, section_refs, thresholds
 from tabularium.functions.segment import cut_before, packed, packed_paragraphs, page_of_offset, page_of_text
 from tabularium.functions.text import document_type, strip
 
@@ -173,7 +173,7 @@ def code_chunks(docs: DataFrame, kind: str = "code", most: int = 2000) -> DataFr
     rows = rows.where(strip(F.col("_t")) != "").withColumn("_t", strip(F.col("_t")))
     lead = F.concat(F.lit("["), "_chapter", F.lit("]\n"), F.concat(F.lit("["), "_section", F.lit("]\n")) if section else F.lit(""), "_article", F.lit("\n"))
     parts = F.when(F.length("_t") > most, packed_paragraphs(F.col("_t"), most)).otherwise(F.array("_t"))
-    extracts = F.struct(concepts(F.col("_t"), kind).alias("tax_concepts"), article_refs(F.col("_t"), kind).alias("article_references"), section_refs(F.col("_t")).alias("section_references"), chapter_refs(F.col("_t")).alias("chapter_references"))
+    extracts = F.struct(concepts(F.col("_t"), kind).alias("tax_concepts"), article_refs(F.col("_t"), kind).alias("article_references"), section_refs(F.col("_t")).alias("section_references"), chapter_refs(F.col("_t")).alias("chapter_references"), legal_terms(F.col("_t"), kind).alias("legal_terms"))
     return rows.select(
         "doc_name", page_of_text(F.col("pages"), F.col("_t")).alias("page_num"), F.lit("text").alias("chunk_type"), article_key(F.col("_article")).alias("article_ref"),
         F.col("_chapter").alias("chapter_ref"), F.col("_section").alias("section_ref"), extracts.alias("entities"), thresholds(F.col("_t"), kind).alias("thresholds"), cross_refs(F.col("_t")).alias("cross_references"),

@@ -106,3 +106,11 @@ def test_extraction_of_references_and_amounts(spark):
 def test_entities_are_capped_and_in_order(spark):
     got = one(spark, ARTICLES, extract.entities(T()))[0]
     assert ("TVA", "tax_concept") in got and ("19 19%", "threshold") in got and len(got) <= 15
+
+
+def test_legal_terms(spark):
+    seen = "Au sens « établissement stable ».\nSociété dénommé \"Mère\".\nau sens « établissement stable ». Au sens de la loi. Means ab."
+    code, convention = one(spark, seen, extract.legal_terms(T()), extract.legal_terms(T(), "convention"))
+    assert [x.strip() for x in code] == ["établissement stable", 'Mère"', "de la loi"]
+    assert [x.strip() for x in convention] == ["établissement stable", "de la loi"]
+    assert len(one(spark, "\n".join(f"au sens terme{i}" for i in range(12)), extract.legal_terms(T()))[0]) == 10

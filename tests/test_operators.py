@@ -87,6 +87,12 @@ def test_code_chunks(spark):
     assert got[0].text.startswith("[CHAPITRE I]\n[SECTION 1]\nARTICLE 1\nARTICLE 1 - ")
 
 
+def test_code_chunks_keep_legal_terms(spark):
+    text = "ARTICLE 1 - Il est soumis au sens «revenu net» défini."
+    docs = spark.createDataFrame([("c", [Row(page=1, ord=1, text=text)], text)], "doc_name string, pages array<struct<page:int,ord:int,text:string>>, text string")
+    assert [chunkers.code_chunks(docs, kind).first().entities.legal_terms for kind in ("code", "convention")] == [["revenu net"]] * 2
+
+
 def test_nearest_article_reaches_nine_pages(spark):
     a = spark.createDataFrame([("d", 3, 1, "Art. 1"), ("d", 9, 1, "Art. 2"), ("d", 9, 2, "Art. 3"), ("e", 60, 1, "Art. 9")], "doc_name string, page_num int, ord int, article_ref string")
     t = spark.createDataFrame([("d", 12, 1), ("d", 19, 2), ("e", 66, 3), ("x", 1, 4)], "doc_name string, page_num int, row int")
