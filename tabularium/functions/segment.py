@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 _CUT, _END = "\u0001", "\u0002"
@@ -46,24 +48,53 @@ def packed(parts: Column, most: int, joint: str, extra: int) -> Column:
     return F.aggregate(parts, start, step, lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"]))
 
 
+def _trimmed(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+
+
+def packed_by(text: Column, most: int, pattern: str) -> Column:
+    """Parts between the places of ``pattern`` packed below ``most``; an empty array where there is only one part."""
+    return let(F.split(text, pattern), lambda ps: F.when(F.size(ps) > 1, packed(_trimmed(ps), most, "\n", 2)).otherwise(F.array().cast("array<string>")))
+
+
 def packed_paragraphs(text: Column, most: int, pattern: str = r"(?=\n\s*\d{1,2}\))") -> Column:
     """Numbered paragraphs packed below ``most``; sentences where there are no numbered paragraphs."""
-    trimmed = lambda x: F.filter(F.transform(x, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
     sentences = F.split(text, r"(?U)(?<=[.!?])\s+")
-    out = let(F.split(text, pattern), lambda ps: F.when(F.size(ps) > 1, packed(trimmed(ps), most, "\n", 2)).otherwise(packed(sentences, most, " ", 1)))
+    out = let(F.split(text, pattern), lambda ps: F.when(F.size(ps) > 1, packed(_trimmed(ps), most, "\n", 2)).otherwise(packed(sentences, most, " ", 1)))
     return let(out, lambda o: F.when(F.size(o) > 0, o).otherwise(F.array(text)))
 
 
-def page_of_offset(pages: Column, offset: Column) -> Column:
-    """Page of a character in texts joined by two signs: ``pages`` is ``array<struct<page, text>>`` in order."""
-    state = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("page"))
-    return F.aggregate(
-        pages, state,
-        lambda s, p: F.struct((s["at"] + F.length(p["text"]) + 2).alias("at"), F.when(s["page"].isNotNull(), s["page"]).when(offset < s["at"] + F.length(p["text"]) + 2, p["page"]).alias("page")),
-        lambda s: F.coalesce(s["page"], F.element_at(pages, -1)["page"]),
-    )
+def word_pieces(x: Column) -> Column:
+    """Tokens by the plainest public rule: runs of word signs, and every other sign that is no white space."""
+    return F.regexp_count(x, F.lit(r"(?U)\w+|[^\w\s]"))
+
 
+def sentence_windows(text: Column, most: int = 1024, overlap: int = 100, measure: Callable[[Column], Column] = word_pieces) -> Column:
+    """``array<string>``: sentences packed into windows of at most ``most`` tokens, led by up to ``overlap`` tokens of whole
+    sentences of the window before.
 
-def page_of_text(pages: Column, text: Column, head: int = 50) -> Column:
-    """First page that holds the first ``head`` characters, else 0."""
-    return F.coalesce(F.get(F.filter(pages, lambda p: p["text"].contains(F.substring(text, 1, head))), F.lit(0))["page"], F.lit(0))
+    ``measure`` counts tokens and can be any column function. A sentence above ``most`` is cut between words first. A
+    null text gives no window, and so does one of white space alone.
+    """
+    rough = F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?؟])\s+|\n{2,}")
+    words = r"(?sU)\S+(?:\s+\S+){0,%d}" % (max(1, most // 4) - 1)
+    short = F.flatten(F.transform(_trimmed(rough), lambda s: F.when(measure(s) <= most, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(words), F.lit(0)))))
+    sized = F.transform(short, lambda s: F.struct(s.alias("t"), measure(s).alias("n")))
+    kind = "array<struct<t:string,n:int>>"
+    joined = lambda now: F.array_join(F.transform(now, lambda x: x["t"]), " ")
+
+    def tail(now: Column) -> Column:
+        start = F.struct(F.array().cast(kind).alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+        step = lambda s, x: F.when(
+            s["open"] & (s["n"] + x["n"] <= overlap), F.struct(F.concat(F.array(x), s["kept"]).alias("kept"), (s["n"] + x["n"]).alias("n"), F.lit(True).alias("open"))
+        ).otherwise(F.struct(s["kept"].alias("kept"), s["n"].alias("n"), F.lit(False).alias("open")))
+        return F.aggregate(F.reverse(now), start, step)
+
+    def step(s: Column, x: Column) -> Column:
+        grown = F.struct(s["done"].alias("done"), F.array_append(s["now"], x).alias("now"), (s["n"] + x["n"]).alias("n"))
+        led = let(tail(s["now"]), lambda t: F.when(t["n"] + x["n"] <= most, F.struct(t["kept"].alias("kept"), t["n"].alias("n"))).otherwise(F.struct(F.array().cast(kind).alias("kept"), F.lit(0).alias("n"))))
+        fresh = let(led, lambda t: F.struct(F.array_append(s["done"], joined(s["now"])).alias("done"), F.array_append(t["kept"], x).alias("now"), (t["n"] + x["n"]).alias("n")))
+        return F.when((F.size(s["now"]) == 0) | (s["n"] + x["n"] <= most), grown).otherwise(fresh)
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(kind).alias("now"), F.lit(0).alias("n"))
+    return F.aggregate(sized, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.array_append(s["done"], joined(s["now"]))).otherwise(s["done"]))

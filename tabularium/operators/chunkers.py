@@ -1,7 +1,8 @@
 """Structure-aware chunking: articles, sections, numbered paragraphs.
 
 A document is one row. Boundaries become array segments, segments become rows, and what a segment inherits (chapter,
-section, header line, page) is carried along, so a chunker is a chain of narrow projections without a shuffle.
+section, header line, page) is merged in by offset within the document, so a chunker reads its text once and shuffles
+nothing after the pages of a document have met.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
 from tabularium.functions.extract import article_key, concepts, cross_refs, article_refs, chapter_refs, legal_terms, section_refs, thresholds
-from tabularium.functions.segment import cut_before, packed, packed_paragraphs, page_of_offset, page_of_text
+from tabularium.functions.segment import cut_before, let, packed_by, packed_paragraphs, sentence_windows
 from tabularium.functions.text import document_type, strip
 
 # Headings (fixed values).
@@ -113,81 +114,170 @@ def _title_before(text: Column) -> Column:
     return F.when(F.size(good) > 0, F.element_at(good, -1))
 
 
+def placed_units(docs: DataFrame, units: Column) -> DataFrame:
+    """``(doc_name, ord, start, page_num, page_end, before, <fields of the unit>)`` of the units of each document.
+
+    ``docs`` is what ``joined_pages`` gives, ``units`` an array of structs whose ``raw`` parts make up ``text`` in order.
+    Units and pages are exploded together, once, and merged by their offset in two sorts within the document, so the work
+    grows with the text and not with its square. A unit stands on the last numbered page that begins at or before its
+    first sign that is no white space; ``page_end`` is where that page's text ends, ``before`` the 300 signs in front.
+    """
+    u = F.transform(units, lambda x, i: F.struct(F.lit(1).alias("k"), i.alias("ord"), F.length(x["raw"]).alias("n"), F.lit(None).cast("int").alias("page"), x.alias("u")))
+    kind = docs.select(units.alias("u")).schema["u"].dataType.elementType.simpleString()
+    p = F.transform("pages", lambda x, i: F.struct(F.lit(0).alias("k"), i.alias("ord"), (F.length(x["text"]) + 2).alias("n"), x["page"].cast("int").alias("page"), F.lit(None).cast(kind).alias("u")))
+    rows = docs.select("doc_name", F.explode(F.concat(u, p)).alias("x")).select("doc_name", "x.*")
+    own = Window.partitionBy("doc_name", "k").orderBy("ord")
+    rows = rows.withColumn("start", F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+    tail = F.right(F.col("u.raw"), F.lit(300))
+    rows = rows.withColumn("tail", tail)
+    for step in (1, 2, 4, 8, 16, 32):  # each doubles how many units the tail may reach over; a heading has five signs at least
+        rows = rows.withColumn("tail", F.right(F.concat(F.coalesce(F.lag("tail", step).over(own), F.lit("")), F.coalesce("tail", F.lit(""))), F.lit(300)))
+    rows = rows.withColumn("before", F.coalesce(F.lag("tail", 1).over(own), F.lit("")))
+    at = F.col("start") + F.when(F.col("k") == 1, F.length("u.raw") - F.length(F.regexp_replace("u.raw", r"(?U)^\s+", ""))).otherwise(0)
+    page = F.when((F.col("k") == 0) & F.col("page").isNotNull(), F.struct("page", (F.col("start") + F.col("n") - 2).alias("end")))
+    merged = Window.partitionBy("doc_name").orderBy("at", "k", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("at", at).withColumn("p", F.last(page, True).over(merged)).where("k = 1")
+    return rows.select("doc_name", "ord", "at", "start", F.col("p.page").alias("page_num"), F.col("p.end").alias("page_end"), "before", "u.*")
+
+
+def _cut_units(pattern: str) -> Column:
+    return F.transform(cut_before(F.col("text"), pattern), lambda x: F.struct(x.alias("raw")))
+
+
 def legal_article_chunks(docs: DataFrame, most: int = 1500) -> DataFrame:
     """Laws as graph chunks: an article under the heading that was last seen before it, with its page.
 
-    ``docs`` is what ``joined_pages`` gives. The heading is carried forward within the document's own row order.
+    ``docs`` is what ``joined_pages`` gives. Large articles are packed by numbered paragraphs, what is still too large
+    by sentences.
     """
-    rows = docs.select("doc_name", "pages", F.col("text").alias("_all"), F.posexplode(cut_before(F.col("text"), LEGAL_ARTICLE)).alias("ord", "raw"))
-    w = Window.partitionBy("doc_name").orderBy("ord")
-    rows = rows.withColumn("_start", F.coalesce(F.sum(F.length("raw")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    seen = strip(F.expr("substring(_all, greatest(1, _start - 299), least(300, _start))"))
-    rows = rows.withColumn("_h", F.when(F.col("ord") > 0, _title_before(seen))).withColumn("section_title", F.coalesce(F.last("_h", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
-    rows = rows.withColumn("page_num", page_of_offset(F.col("pages"), F.col("_start"))).withColumn("_t", strip(F.col("raw")))
+    rows = placed_units(docs, _cut_units(LEGAL_ARTICLE))
+    w = Window.partitionBy("doc_name").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_h", F.when(F.col("ord") > 0, _title_before(strip(F.col("before"))))).withColumn("section_title", F.coalesce(F.last("_h", True).over(w), F.lit(""))).withColumn("_t", strip(F.col("raw")))
     ref = F.when(F.col("ord") == 0, F.lit("Préambule")).otherwise(F.rtrim(strip(F.regexp_extract("_t", LEGAL_ARTICLE, 0)), F.lit("-:—–( ")))
-    rows = rows.where((F.col("ord") > 0) | (F.length("_t") > 50)).withColumn("article_ref", ref)
+    rows = rows.where((F.col("ord") > 0) | (F.length("_t") > 50)).withColumn("article_ref", ref).drop("raw", "before", "_h").repartition("doc_name", "ord")  # no document's articles stay in one task
     titled = F.when((F.col("section_title") != "") & (F.col("ord") > 0), F.concat(F.lit("["), "section_title", F.lit("]\n"), "_t")).otherwise(F.col("_t"))
     lead = F.concat(F.lit("["), F.when(F.col("section_title") != "", F.concat("section_title", F.lit(" — "), "article_ref")).otherwise(F.col("article_ref")), F.lit("]\n"))
-    parts = F.when((F.length("_t") <= most) | (F.col("ord") == 0), F.array(titled)).otherwise(F.transform(packed_paragraphs(F.col("_t"), most, r"(?U)(?=\n\s*\d{1,2}\)\s)"), lambda p: F.concat(lead, p)))
+    numbered = packed_by(F.col("_t"), most, r"(?U)(?=\n\s*\d{1,2}\)\s)")
+    fitted = F.flatten(F.transform(numbered, lambda p: F.when(F.length(F.concat(lead, p)) <= most, F.array(F.concat(lead, p))).otherwise(sentence_windows(F.concat(lead, p)))))
+    led = F.when(F.size(numbered) > 0, fitted).otherwise(F.transform(sentence_windows(F.col("_t")), lambda p: F.concat(lead, p)))
+    parts = F.when((F.length("_t") <= most) | (F.col("ord") == 0), F.array(titled)).otherwise(led)
     return rows.select("doc_name", "page_num", "article_ref", "section_title", "ord", F.posexplode(parts).alias("sub_index", "text")).withColumn("chunk_type", F.lit("text"))
 
 
-def sentence_chunks(text: Column, most: int = 1500, overlap: int = 0) -> Column:
-    """Sentences packed below ``most``; with ``overlap`` each group is led by the end of the one before."""
-    groups = packed(F.split(text, r"(?U)(?<=[.!?])\s+"), most, " ", 1)
-    if not overlap:
-        return groups
-    return F.transform(F.array(groups), lambda gs: F.transform(gs, lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.right(F.element_at(gs, F.greatest(i, F.lit(1))), F.lit(overlap)), F.lit(" "), g))))[0]
-
-
 def note_section_chunks(docs: DataFrame, most: int = 1500) -> DataFrame:
     """Notes as graph chunks: the head with its subject, then numbered sections; large ones by sentences."""
-    rows = docs.select("doc_name", "pages", F.posexplode(cut_before(F.col("text"), NOTE_SECTION)).alias("ord", "raw"))
-    w = Window.partitionBy("doc_name").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_start", F.coalesce(F.sum(F.length("raw")).over(w), F.lit(0))).withColumn("page_num", page_of_offset(F.col("pages"), F.col("_start"))).withColumn("_t", strip(F.col("raw")))
-    rows = rows.where((F.col("ord") > 0) | (F.length("_t") > 30))
+    rows = placed_units(docs, _cut_units(NOTE_SECTION)).withColumn("_t", strip(F.col("raw")))
+    rows = rows.where((F.col("ord") > 0) | (F.length("_t") > 30)).drop("raw", "before").repartition("doc_name", "ord")
     subject = F.substring(strip(F.regexp_extract("_t", r"(?iU)OBJET\s*:\s*(.+?)(?:\n|$)", 1)), 1, 200)
     ref = F.when(F.col("ord") == 0, F.lit("En-tête / Résumé")).otherwise(F.concat(F.lit("Section "), F.rtrim(strip(F.regexp_extract("_t", NOTE_SECTION, 0)), F.lit(".-–—) "))))
-    parts = F.when((F.length("_t") <= most) | (F.col("ord") == 0), F.array("_t")).otherwise(sentence_chunks(F.col("_t"), most))
+    parts = F.when((F.length("_t") <= most) | (F.col("ord") == 0), F.array("_t")).otherwise(sentence_windows(F.col("_t")))
     return rows.select("doc_name", "page_num", ref.alias("article_ref"), F.when(F.col("ord") == 0, subject).otherwise(F.lit("")).alias("section_title"), "ord", F.posexplode(parts).alias("sub_index", "text")).withColumn("chunk_type", F.lit("text"))
 
 
+def generic_chunks(docs: DataFrame) -> DataFrame:
+    """Documents of no known kind: every page by sentences; an empty page has no chunk."""
+    pages = docs.select("doc_name", F.posexplode("pages").alias("ord", "p")).select("doc_name", F.col("p.page").cast("int").alias("page_num"), "ord", F.posexplode(sentence_windows(F.col("p.text"))).alias("sub_index", "text"))
+    return pages.where("text <> ''").select("doc_name", "page_num", F.lit("").alias("article_ref"), F.lit("").alias("section_title"), "ord", "sub_index", "text", F.lit("text").alias("chunk_type"))
+
+
+def code_units(kind: str) -> Column:
+    """Chapters, sections and articles of ``text`` as one array of structs, nested cuts flattened in order."""
+    chapter, section, article = HEADINGS[kind]
+    cut = lambda x, pattern: F.array(x) if pattern is None else cut_before(x, pattern)
+    title = lambda x, i, pattern: F.lit("") if pattern is None else F.when(i > 0, strip(F.rtrim(F.regexp_extract(x, pattern, 0), F.lit("-:—– ")))).otherwise(F.lit(""))
+    unit = lambda ct, ci, st, si, a, ai: F.struct(
+        ci.alias("_chapter_i"), si.alias("_section_i"), ai.alias("_article_i"), ct.alias("_chapter"), st["title"].alias("_section"), title(a, ai, article).alias("_article"), st["n"].alias("_section_n"), a.alias("raw")
+    )
+    # titles are taken once for a chapter and a section, not once for each of their articles
+    below = lambda ct, ci, s, si: let(F.struct(title(s, si, section).alias("title"), F.length(strip(s)).alias("n")), lambda st: F.transform(cut(s, article), lambda a, ai: unit(ct, ci, st, si, a, ai)))
+    per = lambda c, ci: let(title(c, ci, chapter), lambda ct: F.flatten(F.transform(cut(c, section), lambda s, si: below(ct, ci, s, si))))
+    return F.flatten(F.transform(cut(F.col("text"), chapter), per))
+
+
 def code_chunks(docs: DataFrame, kind: str = "code", most: int = 2000) -> DataFrame:
     """Codes (chapter, section, article) and conventions (chapter, article) with what is extracted from each article.
 
     Text before the first heading of a level is a unit without title: chapters always, sections above 30 and articles
-    above 20 characters. Parts of a large article repeat the extracts of the whole article.
+    above 20 characters. Parts of a large article repeat the extracts of the whole article. The page is the first on
+    which an article with the same fifty leading signs begins, 0 where those signs run over the end of a page.
     """
-    chapter, section, article = HEADINGS[kind]
-
-    def level(df: DataFrame, pattern: str | None, name: str, least: int) -> DataFrame:
-        if pattern is None:
-            return df.withColumn(f"_{name}", F.lit("")).withColumn(f"_{name}_i", F.lit(0))
-        others = [c for c in df.columns if c != "_t"]
-        cut = df.select(*others, F.posexplode(cut_before(F.col("_t"), pattern)).alias(f"_{name}_i", "_t"))
-        cut = cut.where((F.col(f"_{name}_i") > 0) | (F.length(strip(F.col("_t"))) > least))
-        return cut.withColumn(f"_{name}", F.when(F.col(f"_{name}_i") > 0, strip(F.rtrim(F.regexp_extract("_t", pattern, 0), F.lit("-:—– ")))).otherwise(F.lit("")))
-
-    rows = docs.select("doc_name", "pages", F.col("text").alias("_t"))
-    rows = level(level(level(rows, chapter, "chapter", 0), section, "section", 30), article, "article", 20)
-    rows = rows.where(strip(F.col("_t")) != "").withColumn("_t", strip(F.col("_t")))
+    section = HEADINGS[kind][1]
+    rows = placed_units(docs, code_units(kind)).withColumn("_t", strip(F.col("raw")))
+    least = (F.col("_section_i") > 0) | (F.col("_section_n") > 30) if section else F.lit(True)
+    rows = rows.where((F.col("_t") != "") & least & ((F.col("_article_i") > 0) | (F.length("_t") > 20)))
+    head = F.substring("_t", 1, 50)
+    seen = F.when(F.col("at") + F.length("_head") <= F.col("page_end"), F.col("page_num"))
+    rows = rows.withColumn("_head", head).drop("raw", "before").repartition("doc_name", "_head")  # no document's articles stay in one task
+    rows = rows.withColumn("page_num", F.coalesce(F.first(seen, True).over(Window.partitionBy("doc_name", "_head").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)))
     lead = F.concat(F.lit("["), "_chapter", F.lit("]\n"), F.concat(F.lit("["), "_section", F.lit("]\n")) if section else F.lit(""), "_article", F.lit("\n"))
     parts = F.when(F.length("_t") > most, packed_paragraphs(F.col("_t"), most)).otherwise(F.array("_t"))
     extracts = F.struct(concepts(F.col("_t"), kind).alias("tax_concepts"), article_refs(F.col("_t"), kind).alias("article_references"), section_refs(F.col("_t")).alias("section_references"), chapter_refs(F.col("_t")).alias("chapter_references"), legal_terms(F.col("_t"), kind).alias("legal_terms"))
     return rows.select(
-        "doc_name", page_of_text(F.col("pages"), F.col("_t")).alias("page_num"), F.lit("text").alias("chunk_type"), article_key(F.col("_article")).alias("article_ref"),
-        F.col("_chapter").alias("chapter_ref"), F.col("_section").alias("section_ref"), extracts.alias("entities"), thresholds(F.col("_t"), kind).alias("thresholds"), cross_refs(F.col("_t")).alias("cross_references"),
-        F.lit(kind).alias("doc_type"), "_chapter_i", "_section_i", "_article_i", lead.alias("_lead"), F.posexplode(parts).alias("sub_index", "_p"),
+        "doc_name", "page_num", F.lit("text").alias("chunk_type"), article_key(F.col("_article")).alias("article_ref"), F.col("_chapter").alias("chapter_ref"), F.col("_section").alias("section_ref"),
+        extracts.alias("entities"), thresholds(F.col("_t"), kind).alias("thresholds"), cross_refs(F.col("_t")).alias("cross_references"),
+        F.lit(kind).alias("doc_type"), "_chapter_i", "_section_i", "_article_i", "ord", lead.alias("_lead"), F.posexplode(parts).alias("sub_index", "_p"),
     ).withColumn("text", F.concat("_lead", "_p")).drop("_lead", "_p")
 
 
-def legal_document_kind(text: Column, law_words: list[str], note_words: list[str]) -> Column:
-    """``loi`` or ``note`` by at least two indicator words, law first; else ``generic``."""
-    low = F.lower(text)
+#: Words that tell a law from a note (fixed values).
+LAW_WORDS = ["loi de finances", "décret-loi", "Art.", "Article premier", "Journal Officiel", "Dispositions"]
+NOTE_WORDS = ["Note commune", "NOTE COMMUNE", "OBJET :", "RESUME", "Direction Générale des Impôts"]
+
+
+def legal_document_kind(text: Column, law_words: list[str] = LAW_WORDS, note_words: list[str] = NOTE_WORDS) -> Column:
+    """``loi`` or ``note`` by at least two indicator words, law first; else ``generic``. A null text is generic."""
+    low = F.coalesce(F.lower(text), F.lit(""))
     score = lambda words: sum((low.contains(w.lower()).cast("int") for w in words), F.lit(0))
     return F.when(score(law_words) >= 2, "loi").when(score(note_words) >= 2, "note").otherwise("generic")
 
 
+def chunker_of(name: Column, text: Column) -> Column:
+    """Which chunker takes a document: codes and conventions by name, others by content; without headings generic."""
+    low, kind = F.lower(name), legal_document_kind(text)
+    found = F.when(kind == "loi", F.when(text.rlike(LEGAL_ARTICLE), "loi")).when(kind == "note", F.when(text.rlike(NOTE_SECTION), "note"))
+    return F.when(low.contains("code"), "code").when(low.contains("convention"), "convention").otherwise(F.coalesce(found, F.lit("generic")))
+
+
+GRAPH_COLUMNS = ["doc_name", "page_num", "chunk_type", "article_ref", "section_title", "ord", "sub_index", "text"]
+
+
+def graph_chunks(docs: DataFrame) -> DataFrame:
+    """Every document by the chunker that fits it, as one schema with ``doc_kind``; extracts where a chunker makes them.
+
+    ``docs`` is what ``joined_pages`` gives. Documents are routed once each; a branch reads only its own kind.
+    """
+    typed = docs.withColumn("doc_kind", chunker_of(F.col("doc_name"), F.col("text")))
+    of = lambda kind: typed.where(F.col("doc_kind") == kind).drop("doc_kind")
+    branches = [("loi", legal_article_chunks), ("note", note_section_chunks), ("generic", generic_chunks), ("code", lambda d: code_chunks(d, "code")), ("convention", lambda d: code_chunks(d, "convention"))]
+    out = None
+    for kind, build in branches:
+        part = build(of(kind)).withColumn("doc_kind", F.lit(kind))
+        part = part.withColumn("section_title", F.col("section_ref")) if "section_ref" in part.columns else part
+        part = part.select(*GRAPH_COLUMNS, "doc_kind", *[c for c in ("chapter_ref", "section_ref", "entities", "thresholds", "cross_references") if c in part.columns])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def articles_of_pages(pages: DataFrame) -> DataFrame:
+    """``(doc_name, page_num, ord, article_ref)``: of the texts of a page the last one that has an article, by its first."""
+    ref = F.rtrim(strip(F.regexp_extract("text", LEGAL_ARTICLE, 0)), F.lit("-:—–( "))
+    named = pages.select("doc_name", "page_num", "ord", ref.alias("article_ref")).where("article_ref <> '' AND page_num IS NOT NULL")
+    return named.groupBy("doc_name", "page_num").agg(F.max_by("article_ref", "ord").alias("article_ref"), F.max("ord").alias("ord"))
+
+
+def with_table_chunks(chunks: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFrame:
+    """Text chunks and the chunks of tables, which stay whole and get the last article up to nine pages back.
+
+    ``tables`` is what ``tables.table_chunks`` gives; ``pages`` has ``(doc_name, page_num, ord, text)``, of which the
+    first article of a page counts, as the last text of the page that has one. Tables without a page have no article.
+    """
+    keys = tables.where("page_num IS NOT NULL AND doc_name IS NOT NULL").select("doc_name", "page_num").distinct().withColumn("row", F.lit(0))
+    known = nearest_article(keys, articles_of_pages(pages)).select("doc_name", "page_num", "article_ref")
+    rows = tables.join(known, ["doc_name", "page_num"], "left")
+    rows = rows.select("doc_name", "page_num", "chunk_type", F.coalesce("article_ref", F.lit("")).alias("article_ref"), F.lit("").alias("section_title"), F.col("table_index").cast("int").alias("ord"), F.lit(0).alias("sub_index"), "text", "table_index", F.lit("table").alias("doc_kind"))
+    return chunks.unionByName(rows, allowMissingColumns=True)
+
+
 def nearest_article(tables: DataFrame, articles: DataFrame, reach: int = 9) -> DataFrame:
     """``tables`` (doc_name, page_num, row) with ``article_ref`` of the last article at most ``reach`` pages back, else ''.
 

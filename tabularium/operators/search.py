@@ -7,7 +7,9 @@ inverted index for workloads that ask the same corpus often.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabularium.functions.text import fold, tokens
 
@@ -77,6 +79,33 @@ def top(df: DataFrame, k: int, *tie: str, digits: int = 6) -> DataFrame:
     return df.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), *tie).limit(k)
 
 
+def ranked(hits: DataFrame, *tie: str) -> DataFrame:
+    """``hits`` of one result page with ``rank`` from 1 and ``percent`` of the best score, within 2 and 100.
+
+    For what ``top`` has cut: ranks need all rows in one order.
+    """
+    best = F.greatest(F.max("score").over(Window.partitionBy()), F.lit(0.01))
+    percent = F.greatest(F.lit(2), F.least(F.lit(100), F.floor(F.col("score") / best * 100 + 0.5).cast("int")))
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *tie))).withColumn("percent", percent)
+
+
+def matching(df: DataFrame, text: str, query: str) -> DataFrame:
+    """Rows that hold a term of the query; no statistics are needed to know them. Without terms none."""
+    terms = query_terms(query)
+    return df.where(F.arrays_overlap(tokens(F.col(text)), F.array(*[F.lit(t) for t in terms]))) if terms else df.limit(0)
+
+
+def facets(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """``(field, value, n)``: the commonest values of several columns by one scan and one aggregation, nulls left out.
+
+    Ties go to the lesser value.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in sizes])
+    counts = df.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("field"))
+    return counts.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))).where(F.col("r") <= most).drop("r")
+
+
 def exact_filters(**values: str | None) -> Column | None:
     """Equality on each named column; ``all`` and None switch a filter off."""
     out = None
@@ -108,8 +137,10 @@ def fuzzy_terms(vocab: DataFrame, terms: list[str]) -> DataFrame:
     swap of neighbours counts as two edits.
     """
     pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(max_edits(t)).alias("k")) for t in terms]) if terms else F.array().cast("array<struct<t:string,k:int>>")
-    near = F.filter(pairs, lambda p: (F.abs(F.length("term") - F.length(p["t"])) <= p["k"]) & (F.levenshtein("term", p["t"]) <= p["k"]))
-    return vocab.select("term", "df", F.explode(near).alias("p")).select(F.col("p.t").alias("query_term"), "term", "df", F.levenshtein("term", F.col("p.t")).alias("edits"))
+    edits = F.array(*[F.levenshtein("term", F.lit(t), max_edits(t)) for t in terms]) if terms else F.array().cast("array<int>")  # -1 beyond the bound
+    near = F.filter(F.zip_with(pairs, edits, lambda p, e: F.struct(p["t"].alias("t"), e.alias("e"))), lambda p: p["e"] >= 0)
+    short = reduce(lambda a, b: a | b, [F.abs(F.length("term") - len(t)) <= max_edits(t) for t in terms], F.lit(False))
+    return vocab.where(short).select("term", "df", F.explode(near).alias("p")).select(F.col("p.t").alias("query_term"), "term", "df", F.col("p.e").alias("edits"))
 
 
 def build_postings(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -51,6 +51,25 @@ def word_columns(lines: DataFrame, page: list[str], gap: int = 20) -> DataFrame:
     return lines.withColumn("_o", opens).withColumn("column_no", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_o")
 
 
+def row_islands(lines: DataFrame, page: list[str], width: int, height: int, gap: int = 20, least: int = 3, pad: int = 5) -> DataFrame:
+    """``(page, first_line, n_lines, x0, y0, x1, y1)`` of runs of at least ``least`` lines with two or more columns.
+
+    ``lines`` is what ``word_rows`` gives. A word opens a column if it begins more than ``gap`` right of the word before.
+    Bounds are padded and clipped to the page.
+    """
+    before = F.lag("left").over(Window.partitionBy(*page, "line_no").orderBy("left", "text"))
+    opened = lines.withColumn("_o", F.when(F.col("left") - before > gap, 1).otherwise(0))
+    rows = opened.groupBy(*page, "line_no").agg(
+        (F.sum("_o") + 1).alias("_cols"), F.min("left").alias("_x0"), F.min("top").alias("_y0"), F.max(F.col("left") + F.col("width")).alias("_x1"), F.max(F.col("top") + F.col("height")).alias("_y1")
+    )
+    island = F.sum(F.when(F.col("_cols") < 2, 1).otherwise(0)).over(Window.partitionBy(*page).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    runs = rows.withColumn("_g", island).where("_cols >= 2").groupBy(*page, "_g").agg(
+        F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), *[F.min(c).alias(c) for c in ("_x0", "_y0")], *[F.max(c).alias(c) for c in ("_x1", "_y1")]
+    )
+    clip = lambda c, most: F.least(F.col(c) + pad, F.lit(most))
+    return runs.where(F.col("n_lines") >= least).select(*page, "first_line", "n_lines", F.greatest(F.col("_x0") - pad, F.lit(0)).alias("x0"), F.greatest(F.col("_y0") - pad, F.lit(0)).alias("y0"), clip("_x1", width).alias("x1"), clip("_y1", height).alias("y1"))
+
+
 def anchored_rows(words: Column, reach: int = 12) -> Column:
     """Rows of an array of word boxes: a word joins while its top is within ``reach`` of the row's first word."""
     ordered = F.array_sort(F.transform(words, lambda x: F.struct(x["top"].alias("top"), x["left"].alias("left"), x["text"].alias("text"))))
@@ -82,12 +101,17 @@ def is_image_page(text: Column, area: Column) -> Column:
 
 
 def table_chunks(tables: DataFrame) -> DataFrame:
-    """Markdown and prose chunk of each table, in that order; the markdown is led by up to 200 characters of context."""
-    context = F.when(F.coalesce(F.col("context_before"), F.lit("")) != "", F.concat(F.lit("Contexte avant: "), F.substring("context_before", 1, 200), F.lit("\n"))).otherwise(F.lit(""))
+    """Markdown and prose chunk of each table, in that order, under their heads; the markdown shows up to 200 characters of
+    context. A table without rows has no markdown, one without a filled cell no prose. Null fields are shown empty.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     heads = F.coalesce("headers", F.array().cast("array<string>"))
     rows = F.transform(F.coalesce("raw_data", F.array().cast("array<array<string>>")), lambda r: F.coalesce(r, F.array().cast("array<string>")))
-    both = F.array(F.struct(F.lit("table_markdown").alias("chunk_type"), F.concat(context, table_markdown(rows, heads)).alias("text")), F.struct(F.lit("table_prose").alias("chunk_type"), table_prose(rows, heads).alias("text")))
-    return tables.select("doc_name", "page_num", "table_index", F.posexplode(both).alias("ord", "c")).select("doc_name", "page_num", "table_index", "ord", "c.chunk_type", "c.text").where("text <> ''")
+    markdown, prose = table_markdown(rows, heads), table_prose(rows, heads)
+    led = F.concat(F.lit("[TABLE – page "), text("page_num"), F.lit(", extracted via "), text("method"), F.lit("]\nContext avant: "), F.substring(text("context_before"), 1, 200), F.lit("\n\n"), markdown)
+    told = F.concat(F.lit("[TABLE NARRATIVE – page "), text("page_num"), F.lit("]\n"), prose)
+    both = F.array(F.struct(F.lit("table_markdown").alias("chunk_type"), F.when(markdown != "", led).alias("text")), F.struct(F.lit("table_prose").alias("chunk_type"), F.when(prose != "", told).alias("text")))
+    return tables.select("doc_name", "page_num", "table_index", F.posexplode(both).alias("ord", "c")).select("doc_name", "page_num", "table_index", "ord", "c.chunk_type", "c.text").where("text IS NOT NULL")
 
 
 def prose_of_markdown(chunks: DataFrame) -> DataFrame:

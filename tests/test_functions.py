@@ -85,10 +85,14 @@ def test_packing_is_greedy(spark):
     assert one(spark, "", segment.packed_paragraphs(T(), 9))[0] == [""]
 
 
-def test_page_of_offset(spark):
-    pages = F.array(F.struct(F.lit(3).alias("page"), F.lit("abcd").alias("text")), F.struct(F.lit(4).alias("page"), F.lit("ef").alias("text")))
-    assert one(spark, "", *[segment.page_of_offset(pages, F.lit(i)) for i in (0, 5, 6, 99)]) == (3, 3, 4, 4)
-    assert one(spark, "ef", segment.page_of_text(pages, T()))[0] == 4
+def test_sentences_fill_windows_with_overlap(spark):
+    text = "un deux trois. quatre cinq six. sept huit neuf. dix"
+    assert one(spark, text, segment.sentence_windows(T(), 8, 4))[0] == ["un deux trois. quatre cinq six.", "quatre cinq six. sept huit neuf.", "sept huit neuf. dix"]
+    assert one(spark, text, segment.sentence_windows(T(), 8, 0))[0] == ["un deux trois. quatre cinq six.", "sept huit neuf. dix"]
+    long = one(spark, "mot " * 50, segment.sentence_windows(T(), 8, 2))[0]
+    assert " ".join(long).split().count("mot") >= 50 and all(len(x.split()) <= 8 for x in long)
+    assert one(spark, None, segment.sentence_windows(T()))[0] == [] and one(spark, "  ", segment.sentence_windows(T()))[0] == []
+    assert one(spark, "a b c d. e", segment.sentence_windows(T(), 14, 5, F.length))[0] == ["a b c d. e"]
 
 
 def test_extraction_of_references_and_amounts(spark):

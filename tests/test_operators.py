@@ -78,6 +78,37 @@ def test_legal_chunks_carry_heading_and_page(spark):
     assert all(r.text.startswith("[DISPOSITIONS GENERALES DE LOI]\nArt.") for r in got)
 
 
+def test_units_make_up_the_text_and_know_their_page(spark):
+    pages = spark.createDataFrame([("d", 1, "avant\nArt. 1 - a", 1), ("d", None, "suite", 2), ("d", 3, "Art. 2 - b\nArt. 3 - c", 3), ("e", 5, "", 1)], "doc_name string, page_num int, text string, ord int").withColumn("extra", F.lit(1))
+    docs = chunkers.joined_pages(pages)
+    got = chunkers.placed_units(docs, chunkers._cut_units(chunkers.LEGAL_ARTICLE)).orderBy("doc_name", "ord").collect()
+    assert "".join(r.raw for r in got if r.doc_name == "d") == docs.where("doc_name = 'd'").first().text
+    assert [r.page_num for r in got] == [None, 1, 3, 3, 5] and got[3].before.endswith("Art. 2 - b\n")
+    assert chunkers.placed_units(docs.limit(0), chunkers._cut_units(chunkers.LEGAL_ARTICLE)).count() == 0
+
+
+def test_the_heading_is_found_over_many_short_articles(spark):
+    text = "DISPOSITIONS RELATIVES AUX TAUX\n" + "".join(f"Art.{i}-\n" for i in range(40)) + "Art. 99 - fin"
+    docs = spark.createDataFrame([("d", [Row(page=1, ord=1, text=text)], text)], "doc_name string, pages array<struct<page:int,ord:int,text:string>>, text string")
+    rows = chunkers.placed_units(docs, chunkers._cut_units(chunkers.LEGAL_ARTICLE)).orderBy("ord").collect()
+    assert all(r.before == text[max(0, r.start - 300) : r.start] for r in rows)
+
+
+def test_documents_are_routed_by_name_and_text(spark):
+    law, note = "Loi de finances\nDispositions\nArt. 1 - a", "Note commune\nOBJET : x\nI. Champ"
+    rows = [("Code.pdf", law), ("convention.pdf", law), ("x.pdf", law), ("y.pdf", note), ("z.pdf", "Loi de finances. Dispositions"), ("w.pdf", "rien"), ("v.pdf", None)]
+    pages = spark.createDataFrame([(n, 1, t, 1) for n, t in rows], "doc_name string, page_num int, text string, ord int")
+    docs = chunkers.joined_pages(pages)
+    kinds = {r[0]: r[1] for r in docs.select("doc_name", chunkers.chunker_of(F.col("doc_name"), F.col("text"))).collect()}
+    assert kinds == {"Code.pdf": "code", "convention.pdf": "convention", "x.pdf": "loi", "y.pdf": "note", "z.pdf": "generic", "w.pdf": "generic", "v.pdf": "generic"}
+    out = chunkers.graph_chunks(docs).collect()
+    assert {r.doc_kind for r in out} == {"code", "convention", "loi", "note", "generic"} and {r.doc_name for r in out} == {n for n, t in rows if t}
+    t = spark.createDataFrame([("x.pdf", 9, 0, [["a"], ["b"]], None, "native", None), ("x.pdf", 12, 1, [["a"]], None, None, "c"), ("q.pdf", None, 0, None, None, None, None)], "doc_name string, page_num int, table_index int, raw_data array<array<string>>, headers array<string>, method string, context_before string")
+    both = chunkers.with_table_chunks(chunkers.graph_chunks(docs), tables.table_chunks(t), pages).where("doc_kind = 'table'").collect()
+    assert {(r.page_num, r.chunk_type, r.article_ref) for r in both} == {(9, "table_markdown", "Art. 1"), (9, "table_prose", "Art. 1"), (12, "table_markdown", ""), (12, "table_prose", "")}
+    assert next(r.text for r in both if r.page_num == 12 and r.chunk_type == "table_prose") == "[TABLE NARRATIVE – page 12]\nColonne 1: a."
+
+
 def test_code_chunks(spark):
     text = "CHAPITRE I - Base\nSECTION 1 - Sec\nARTICLE 1 - La TVA au taux de 19%\nARTICLE 2 bis - fin de la retenue"
     docs = spark.createDataFrame([("c", [Row(page=7, ord=1, text=text)], text)], "doc_name string, pages array<struct<page:int,ord:int,text:string>>, text string")
