@@ -113,7 +113,7 @@ def merge_ranked(*parts: DataFrame, key: str = "id", limit: int = 10) -> DataFra
 
 
 def knowledge_stats(chunks: DataFrame) -> DataFrame:
-    """Ten figures in one pass; categories overlap and are case-sensitive."""
+    """Figures of the chunks in one pass; categories overlap and are case-sensitive. Entities and relations are counted apart."""
     has = lambda *w: reduce(lambda a, b: a | b, [F.col("doc_name").contains(x) for x in w])
     return chunks.agg(
         F.count(F.lit(1)).alias("total_chunks"), F.count_if(has("loi", "finances")).alias("lois"), F.count_if(has("note")).alias("notes"), F.count_if(has("code", "recueil")).alias("codes"),

@@ -62,3 +62,28 @@ def windowed_counts(stream: DataFrame, ts: str, late: str, size: str, *keys: str
 def once_by_key(stream: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     """Each key once within the watermark: resuming a delivery repeats nothing."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+
+
+def latest_status(progress: DataFrame) -> DataFrame:
+    """One row of each file: its latest attempt, with counts and output of a finished and the error of a failed one.
+
+    ``progress`` has ``filename, status, chunks, error, timestamp_text, output``. Errors are cut at 300 characters. Attempts
+    of one minute: finished before failed before open, then the larger values. One aggregation with a map-side combine.
+    """
+    rank = F.when(F.col("status") == "done", 2).when(F.col("status") == "failed", 1).otherwise(0)
+    row = F.struct(F.col("timestamp_text"), rank.alias("rank"), F.col("chunks"), F.col("error"), F.col("output"), F.col("status"))
+    last = progress.groupBy("filename").agg(F.max(row).alias("m"))
+    only = lambda status, c: F.when(F.col("m.status") == status, c)
+    return last.select(
+        "filename", F.col("m.status").alias("status"), only("done", F.col("m.chunks")).alias("chunks"), only("failed", F.substring("m.error", 1, 300)).alias("error"),
+        F.col("m.timestamp_text").alias("timestamp_text"), only("done", F.col("m.output")).alias("output"),
+    )
+
+
+def run_counters(files: DataFrame, state: DataFrame) -> DataFrame:
+    """Counters of a run over ``files`` (filename): finished ones are skipped, all others are to do."""
+    known = files.join(state.select("filename", "status", "chunks"), "filename", "left")
+    return known.agg(
+        F.count_if(F.col("status") == "done").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(~F.coalesce(F.col("status") == "done", F.lit(False))).alias("todo"),
+        F.coalesce(F.sum(F.when(F.col("status") == "done", F.col("chunks"))), F.lit(0)).alias("indexed"),
+    )
