@@ -1,14 +1,17 @@
-"""Queries of the package and the SQL that tests them, gathered from its modules."""
+"""Queries of the package and the SQL that tests them, gathered from its modules.
+
+The modules are imported here and not when queries are asked for, so that a missing library leaves out the package only.
+"""
 
 from __future__ import annotations
 
-import importlib
+from tabularium.llm import fusing, leakage, lookalikes, near_duplicates, neighbours, packing, repetition, scans, site_lines, splitting
 
-MODULES = ("splitting", "fusing", "site_lines", "repetition", "leakage", "near_duplicates", "packing", "neighbours", "lookalikes", "scans")
+MODULES = (splitting, fusing, site_lines, repetition, leakage, near_duplicates, packing, neighbours, lookalikes, scans)
 
 
 def _gather(name: str) -> dict:
-    return {k: v for m in MODULES for k, v in getattr(importlib.import_module(f"tabularium.llm.{m}"), name, {}).items()}
+    return {k: v for m in MODULES for k, v in getattr(m, name, {}).items()}
 
 
 def queries() -> dict:

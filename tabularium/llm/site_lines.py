@@ -78,4 +78,9 @@ k AS (SELECT * FROM n WHERE length(regexp_replace(norm, '\P{L}+', '', 'g')) >= 1
 c AS (SELECT filename, norm FROM k JOIN (SELECT filename, count(DISTINCT chunk_id) n_all FROM index_chunk GROUP BY 1) USING (filename) GROUP BY filename, norm HAVING count(DISTINCT chunk_id) >= 6 AND count(DISTINCT chunk_id) >= 0.05 * any_value(n_all))
 """
 QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean}
-ORACLES = {"p3_found": _LINES_SQL + "SELECT row_no, CAST(line_no AS INT) AS line_no FROM k JOIN c USING (filename, norm)"}
+ORACLES = {
+    "p3_found": _LINES_SQL + "SELECT row_no, CAST(line_no AS INT) AS line_no FROM k JOIN c USING (filename, norm)",
+    "p3_clean": _LINES_SQL + """, o AS (SELECT row_no, list(DISTINCT line_no) gone FROM k JOIN c USING (filename, norm) GROUP BY row_no)
+SELECT i.row_no, chunk_id, filename, CASE WHEN gone IS NULL THEN content ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda l, n: NOT list_contains(gone, n)), chr(10)) END AS content, coalesce(len(gone), 0)::INT AS n_removed
+FROM index_chunk i LEFT JOIN o ON i.row_no = o.row_no""",
+}

@@ -74,5 +74,25 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return cut.where("was_split AND part = 2").select("row_no")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
-ORACLES = {"p1_found": "SELECT row_no FROM index_chunk WHERE length(content) > 2000"}
+def p1_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """Each content put together again from its pieces without their overlaps, and what would be wrong with them.
+
+    ``n_over``: pieces above the limit; ``n_unlike``: pieces that don't begin with the end of the one before;
+    ``n_short``: bodies shorter than the overlap before the last.
+    """
+    rows = p1_pieces(spark, root).where("content IS NOT NULL").select("row_no", "was_split", F.when(F.col("was_split"), F.col("part")).otherwise(1).alias("n"), "content")
+    lists = rows.groupBy("row_no").agg(F.max("was_split").alias("cut"), F.transform(F.array_sort(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]).alias("p"))
+    body = F.transform("p", lambda x, i: F.when(i == 0, x).otherwise(F.substring(x, 101, 2000)))
+    before = F.zip_with(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), lambda b, a: (~b.startswith(F.right(a, F.lit(100)))).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    return lists.select(
+        "row_no", F.md5(F.array_join(body, "")).alias("content_md5"), total(F.transform("p", lambda x: (F.col("cut") & (F.length(x) > 2000)).cast("int"))).alias("n_over"), total(before).alias("n_unlike"),
+        total(F.transform(F.slice(body, F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: (F.length(x) < 100).cast("int"))).alias("n_short"),
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_round_trip": p1_round_trip}
+ORACLES = {
+    "p1_found": "SELECT row_no FROM index_chunk WHERE length(content) > 2000",
+    "p1_round_trip": "SELECT row_no, md5(content) AS content_md5, 0 AS n_over, 0 AS n_unlike, 0 AS n_short FROM index_chunk WHERE content IS NOT NULL",
+}
