@@ -24,6 +24,8 @@ SPAN = 10
 MASKS = ("1110010111", "1101101011", "1011111101")
 #: Characters of test text indexed at a time; a larger test set is taken in as many passes as it needs.
 BLOCK_CHARS = 20_000_000
+#: Matches of seeds that are listed at a time, and words that are compared at a time.
+MATCHES = 2_000_000
 
 
 def _seeds(flat: np.ndarray, mask: str) -> np.ndarray:
@@ -64,36 +66,64 @@ class SeedIndex:
             seen[(seeds >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
             self.tables.append((seeds[order], at[order], owner[order], seen))
 
-    def hits(self, flat: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
-        """Distinct (text, item, diagonal) on which some seed agrees."""
+    def hits(self, flat: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Distinct (text, item, diagonal) on which some seed agrees, in blocks that don't share a text.
+
+        A seed that stands in many items and texts gives many hits, so texts are taken in blocks of about ``MATCHES``
+        matches, counted before any is listed; a text alone may exceed that.
+        """
         at, owner = _windows(bounds)
         found = []
         for mask, (seeds, pos, items, seen) in zip(MASKS, self.tables):
-            if not len(at) or not len(seeds):
-                continue
-            mine = _seeds(flat, mask)[at]
-            near = np.flatnonzero(seen[(mine >> np.uint64(64 - self.BITS)).astype(np.int64)])
-            lo, hi = np.searchsorted(seeds, mine[near], "left"), np.searchsorted(seeds, mine[near], "right")
-            times = hi - lo
-            if not times.sum():
-                continue
-            left = np.repeat(near, times)
-            right = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
-            found.append(pd.DataFrame({"doc": owner[left], "item": items[right], "diagonal": at[left] - pos[right]}))
-        return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"doc": [], "item": [], "diagonal": []}, dtype=np.int64)
-
-    def verify(self, flat: np.ndarray, bounds: np.ndarray, doc: int, item: int, diagonal: int) -> tuple[int, int]:
-        """Longest run of equal words on the diagonal, and equal words in its best stretch (a difference costs three)."""
-        a, b = self.bounds[item], self.bounds[item + 1]
-        lo, hi = max(a, bounds[doc] - diagonal), min(b, bounds[doc + 1] - diagonal)
-        same = self.flat[lo:hi] == flat[lo + diagonal : hi + diagonal]
-        gaps = np.flatnonzero(~same)
-        longest = int(np.max(np.diff(np.concatenate([[-1], gaps, [len(same)]]))) - 1)
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-        rise = total - np.minimum.accumulate(total)
-        end = int(np.argmax(rise))
-        begin = int(np.argmin(total[: end + 1]))
-        return longest, int(same[begin:end].sum())
+            if len(at) and len(seeds):
+                mine = _seeds(flat, mask)[at]
+                near = np.flatnonzero(seen[(mine >> np.uint64(64 - self.BITS)).astype(np.int64)])
+                lo, hi = np.searchsorted(seeds, mine[near], "left"), np.searchsorted(seeds, mine[near], "right")
+                hit = hi > lo
+                found.append((near[hit], lo[hi > lo], (hi - lo)[hit], pos, items))
+        total = sum((np.bincount(owner[near], times, len(bounds) - 1) for near, _, times, _, _ in found), np.zeros(len(bounds) - 1))
+        texts = np.flatnonzero(total)
+        block = (np.cumsum(total[texts]) // MATCHES).astype(np.int64)
+        for b in np.unique(block):
+            first, last = texts[block == b][[0, -1]]
+            parts = []
+            for near, lo, times, pos, items in found:
+                here = slice(np.searchsorted(owner[near], first, "left"), np.searchsorted(owner[near], last, "right"))
+                left, k = np.repeat(near[here], times[here]), times[here]
+                right = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[here], k)
+                parts.append(pd.DataFrame({"doc": owner[left], "item": items[right], "diagonal": at[left] - pos[right]}))
+            both = pd.concat(parts).drop_duplicates()
+            yield both["doc"].to_numpy(np.int64), both["item"].to_numpy(np.int64), both["diagonal"].to_numpy(np.int64)
+
+    def verify(self, flat: np.ndarray, bounds: np.ndarray, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hit the longest run of equal words on its diagonal, and the equal words in its best stretch (a
+        difference costs three). All diagonals are laid end to end and walked at once, in blocks of words."""
+        lo, hi = np.maximum(self.bounds[item], bounds[doc] - diagonal), np.minimum(self.bounds[item + 1], bounds[doc + 1] - diagonal)
+        runs, overlaps = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        block = (np.cumsum(hi - lo) // MATCHES).astype(np.int64)
+        for b in np.unique(block):
+            a, n, d = lo[block == b], (hi - lo)[block == b], diagonal[block == b]
+            start = np.cumsum(n) - n
+            seg = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) - start[seg] + a[seg]
+            same = self.flat[at] == flat[at + d[seg]]
+            index = np.arange(len(same))
+            since = index - np.maximum.accumulate(np.where(same, np.maximum(start[seg] - 1, -1), index))  # words since the last difference
+            runs.append(np.maximum.reduceat(np.where(same, since, 0), start))
+            # each diagonal begins below all sums of the one before, so one running minimum serves all
+            sums = np.cumsum(np.where(same, 1, -3))
+            before = sums - np.where(same, 1, -3)
+            base = before[start]
+            fall = (4 * int(n.max()) + 4) * seg
+            level, low = sums - base[seg] - fall, before - base[seg] - fall
+            least = np.minimum.accumulate(low)
+            began = np.maximum.accumulate(np.where(low == least, index, 0))
+            rise = level - least
+            top = np.maximum.reduceat(rise, start)
+            end = np.minimum.reduceat(np.where(rise == top[seg], index, len(index)), start)
+            equal = np.concatenate([[0], np.cumsum(same)])
+            overlaps.append(equal[end + 1] - equal[began[end]])
+        return np.concatenate(runs), np.concatenate(overlaps)
 
 
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -115,20 +145,17 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, ite
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            sizes = np.diff(index.bounds)
+            sizes, ids = np.diff(index.bounds), pa.array(index.ids)
             for batch in batches:
                 flat, bounds = word_hashes(batch.column(1), fold=True)
-                hits = index.hits(flat, bounds)
-                if not len(hits):
-                    continue
-                checked = [index.verify(flat, bounds, *map(int, h)) for h in hits[["doc", "item", "diagonal"]].itertuples(index=False)]
-                hits["run"], hits["overlap"] = zip(*checked)
-                best = hits.groupby(["doc", "item"], as_index=False)[["run", "overlap"]].max()
-                doc, it = best["doc"].to_numpy(np.int64), best["item"].to_numpy(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)), pa.array([index.ids[i] for i in it]), pa.array(best["run"], pa.int32()), pa.array(best["overlap"], pa.int32()), pa.array(sizes[it], pa.int32())],
-                    names=["_doc", "_item", "longest_run", "overlap_words", "item_words"],
-                )
+                for doc, it, diagonal in index.hits(flat, bounds):
+                    run, overlap = index.verify(flat, bounds, doc, it, diagonal)
+                    best = pd.DataFrame({"doc": doc, "item": it, "run": run, "overlap": overlap}).groupby(["doc", "item"], as_index=False).max()
+                    doc, it = best["doc"].to_numpy(np.int64), best["item"].to_numpy(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(doc)), ids.take(pa.array(it)), pa.array(best["run"], pa.int32()), pa.array(best["overlap"], pa.int32()), pa.array(sizes[it], pa.int32())],
+                        names=["_doc", "_item", "longest_run", "overlap_words", "item_words"],
+                    )
 
         part = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).mapInArrow(scan, f"_doc {kinds[0]}, _item {kinds[1]}, longest_run int, overlap_words int, item_words int")
         out = part if out is None else out.unionAll(part)

@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -175,27 +176,57 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     return out + _best_fit(loose, capacity)
 
 
+def _placed(items: list[int], groups: list[list]) -> list[tuple[int, Counter]] | None:
+    """Where the items of one container fit best among ``groups`` (by rising room): ``(group, items)`` of each container
+    that takes some, or None if one finds no room. A container is asked again before another of its group is opened."""
+    opened: list[list] = []  # group, room left, items
+    taken: Counter = Counter()
+    for x in sorted(items, reverse=True):
+        old = min((o for o in opened if o[1] >= x), key=lambda o: o[1], default=None)
+        new = next((i for i, g in enumerate(groups) if g[2] >= x and g[1] > taken[i]), None)
+        if old and (new is None or old[1] <= groups[new][2]):
+            old[1] -= x
+            old[2][x] += 1
+        elif new is not None:
+            taken[new] += 1
+            opened.append([new, groups[new][2] - x, Counter([x])])
+        else:
+            return None
+    return [(i, c) for i, _, c in opened]
+
+
 def _best_fit(loose: list[tuple[Counter, int]], capacity: int) -> list[tuple[Counter, int]]:
-    """Empty the least full containers into the fullest others that take their items, if all their items find room."""
+    """Empty the least full containers into the fullest others that take their items, if all their items find room.
+
+    Containers of one pattern move together, as many as the others can take at once.
+    """
     groups = sorted(([p, n, capacity - sum(k * m for k, m in p.items())] for p, n in loose), key=lambda g: g[2])
     done: list[tuple[Counter, int]] = []
     while groups:
         pattern, n, room = groups.pop()
-        moved = False
-        if sum(pattern.values()) == 1:
-            (length,) = pattern
-            for g in groups:  # by rising room: the first that fits is the best fit
-                if g[2] >= length:
-                    k = min(n, g[1])
-                    g[1] -= k
-                    groups.append([g[0] + pattern, k, g[2] - length])
-                    if n > k:
-                        groups.append([pattern, n - k, room])
-                    groups = sorted((x for x in groups if x[1]), key=lambda x: x[2])
-                    moved = True
-                    break
-        if not moved:
+        items = list(pattern.elements())
+        targets = _placed(items, groups)
+        own = targets is None and n > 1 and _placed(items, [[pattern, n - 1, room]])  # or into others of its own pattern
+        if not targets and not own:
             done.append((pattern, n))
+            continue
+        if own:
+            groups.append([pattern, n, room])
+            targets, uses = [(len(groups) - 1, c) for _, c in own], Counter({len(groups) - 1: len(own) + 1})
+        else:
+            uses = Counter(i for i, _ in targets)
+        k = min([groups[i][1] // u for i, u in uses.items()] + ([] if own else [n]))
+        fresh = [[groups[i][0] + c, k, groups[i][2] - sum(x * m for x, m in c.items())] for i, c in targets]
+        for i, u in uses.items():
+            groups[i][1] -= u * k
+        if not own and n > k:
+            groups.append([pattern, n - k, room])
+        merged: dict = {}
+        for p, m, r in [*groups, *fresh]:
+            if m:
+                entry = merged.setdefault(tuple(sorted(p.items())), [p, 0, r])
+                entry[1] += m
+        groups = sorted(merged.values(), key=lambda g: g[2])
     return done
 
 
@@ -222,14 +253,21 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, vocabulary: s
             slots.append((length, used[length], m, base))
             used[length] += m * times
         base += times
-    spark = df.sparkSession
-    places = spark.createDataFrame(slots or [(0, 0, 1, 0)], "n_tokens bigint, first bigint, each int, base bigint").groupBy("n_tokens").agg(F.sort_array(F.collect_list(F.struct("first", "each", "base"))).alias("_slots"))
+    # the slots of all lengths are bounded by the capacity, not by the corpus: one sorted array, asked by binary search
+    slots.sort()
+    table_of = np.array(slots or [(0, 0, 1, 0)], np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(((table_of[:, 0] << 44) | table_of[:, 1], table_of))
+
+    @F.pandas_udf("bigint")
+    def container_of(length: pd.Series, rank: pd.Series) -> pd.Series:
+        keys, own = shared.value
+        length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        at = np.maximum(np.searchsorted(keys, (length << 44) | rank, "right") - 1, 0)
+        return pd.Series(own[at, 3] + (rank - own[at, 1]) // own[at, 2]).where(pd.Series(length > 0))
+
     rank = F.row_number().over(Window.partitionBy("n_tokens", "_salt").orderBy(key, "piece")) - 1 + F.coalesce(F.col("_before"), F.lit(0))
-    ranked = salted.join(F.broadcast(parts.select("n_tokens", "_salt", "_before")) if salts <= 64 else parts.select("n_tokens", "_salt", "_before"), ["n_tokens", "_salt"], "left").withColumn("_rank", rank)
-    # the slots of all lengths are bounded by the capacity, not by the corpus
-    at = ranked.join(F.broadcast(places), "n_tokens", "left").withColumn("_slot", F.element_at(F.filter("_slots", lambda s: s["first"] <= F.col("_rank")), -1))
-    container = F.col("_slot.base") + F.floor((F.col("_rank") - F.col("_slot.first")) / F.col("_slot.each"))
-    return at.select(key, "piece", "start_token", "n_tokens", F.when(F.col("n_tokens") > 0, container).cast("bigint").alias("container"))
+    ranked = salted.join(F.broadcast(parts.select("n_tokens", "_salt", "_before")) if salts <= 64 else parts.select("n_tokens", "_salt", "_before"), ["n_tokens", "_salt"], "left").withColumn("_rank", rank.cast("bigint"))
+    return ranked.select(key, "piece", "start_token", "n_tokens", container_of("n_tokens", "_rank").alias("container"))
 
 
 def p8_assign(spark: SparkSession, root: str) -> DataFrame:
@@ -242,4 +280,18 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
     return filled.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("n") / 2048).alias("least_possible"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.round(1 - F.sum("n") / (F.count(F.lit(1)) * 2048), 6).alias("room_lost"))
 
 
-QUERIES = {"p8_assign": p8_assign, "p8_report": p8_report}
+def p8_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the containers, counted over all of them: texts, texts without a token, and three faults."""
+    rows = p8_assign(spark, root)
+    texts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("n"), F.count("container").alias("held"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count_distinct("start_token").alias("starts"))
+    of_texts = texts.agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(F.col("n") == 0).alias("texts_without_token"), F.count_if((F.col("k") > 1) & (F.col("n") <= 2048)).alias("split_needlessly"),
+        F.count_if((F.col("end") != F.col("n")) | (F.col("starts") != F.col("k")) | (F.col("held") != F.when(F.col("n") > 0, F.col("k")).otherwise(0))).alias("tokens_not_once"),
+    )
+    filled = rows.where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    of_containers = filled.agg(F.count_if(F.col("n") > 2048).alias("overfull"), (F.count(F.lit(1)) <= F.ceil(F.sum("n") / 2048 * 1.02) + 1).alias("nearly_least"))
+    return of_texts.crossJoin(of_containers)  # one row each
+
+
+QUERIES = {"p8_assign": p8_assign, "p8_report": p8_report, "p8_checks": p8_checks}
+ORACLES = {"p8_checks": "SELECT count(*) AS texts, count(*) FILTER (coalesce(text, '') = '') AS texts_without_token, 0::BIGINT AS split_needlessly, 0::BIGINT AS tokens_not_once, 0::BIGINT AS overfull, true AS nearly_least FROM documents"}
