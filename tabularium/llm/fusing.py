@@ -73,10 +73,10 @@ m AS (SELECT request_no, retriever, quantile_disc(x, 0.5) med FROM x GROUP BY AL
 d AS (SELECT request_no, retriever, any_value(med) med, quantile_disc(abs(x - med), 0.5) mad, avg(abs(x - med)) aad FROM x JOIN m USING (request_no, retriever) GROUP BY ALL),
 z AS (SELECT request_no, chunk_id, ln(0.01 + 0.99 / (1 + exp(-least(greatest(CASE WHEN mad > 0 THEN (x - med) / (mad * 1.4826) WHEN aad > 0 THEN (x - med) / (aad * 1.2533) ELSE 0 END, -700), 700)))) - ln(0.01) g FROM x JOIN d USING (request_no, retriever)),
 w AS (SELECT request_no, count(*) w FROM d GROUP BY ALL),
-f AS (SELECT request_no, chunk_id, count(*) n_scored, round(exp(sum(g) / any_value(w) + ln(0.01)), 9) fused FROM z JOIN w USING (request_no) GROUP BY ALL)
+f AS (SELECT request_no, chunk_id, count(*) n_scored, exp(sum(g) / any_value(w) + ln(0.01)) whole, round(exp(sum(g) / any_value(w) + ln(0.01)), 9) fused FROM z JOIN w USING (request_no) GROUP BY ALL)
 """
 QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking}
 ORACLES = {
     "p2_found": _LEAD_SQL + "SELECT request_no, arg_min(chunk_id, (-fused, chunk_id)) AS chunk_id FROM f GROUP BY request_no",
-    "p2_ranking": _LEAD_SQL + "SELECT request_no, chunk_id, round(fused, 6) AS fused, n_scored FROM f",
+    "p2_ranking": _LEAD_SQL + "SELECT request_no, chunk_id, round(whole, 6) AS fused, n_scored FROM f",
 }
