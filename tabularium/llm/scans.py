@@ -2,8 +2,9 @@
 
 A lexicon counted over the whole corpus says which words exist. An averaged perceptron, trained on lexicon words that
 were damaged on purpose, edits suspect words character by character: keep, replace, delete, insert, and join or keep
-at a hyphen that ends a line. Running heads and page numbers go by their form and their position amid a sentence.
-Texts without a suspect sign, decided by whole-batch array operations, are passed through.
+at a hyphen that ends a line. Running heads and page numbers are told by a second perceptron, over the form and shape of
+a line, its place on the page, and what stands before and after it; its lessons are pages of the corpus into which heads
+and numbers of many forms were put. Texts without a suspect sign, decided by whole-batch array operations, pass through.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabularium.llm.lookalikes import plain_form
 from tabularium.llm.words import slices
+from tabularium.plans.staging import staged
 from tabularium.sources.tables import table
 
 #: Signs of print and what a reader of scans takes them for (fixed values).
@@ -32,6 +34,10 @@ FIGURES = {"O": "0", "o": "0", "l": "1", "I": "1", "|": "1", "Z": "2", "S": "5",
 SHARE, OFTEN = 5e-6, 8
 #: Words that are damaged to train the editor, at most.
 LESSONS = 5000
+#: Texts whose lines teach what page furniture is, at most, and how long they are.
+PAGES, PAGE_CHARS = 1500, (200, 20_000)
+#: Share of ordinary lines of held-out pages that may score as high as a head of unknown form.
+LOST = 5e-4
 BREAK = "↵"
 _MARKED = regex.compile(r"^\s*(?:[Pp]age \d{1,4} |\d{1,4}  )|\(suite\)\s*$|  \d{1,4}\s*$", regex.I)
 _PAGE_ENDS, _INNER = regex.compile(r"^\s*(?:[Pp]age )?\d{1,4} |\s+\d{1,4}\s*$"), regex.compile(r"(?<![\p{L}\d@|])\d+(?![\p{L}\d@|])")
@@ -57,6 +63,8 @@ _QUICK = (
     r"(?m)^[ \t]*(?:[Pp]age \d{1,4} |\d{1,4}  )\p{Lu}|\([Ss][Uu][Ii][Tt][Ee]\)[ \t]*$|\p{L}  +\d{1,4}[ \t]*$|\p{Lu}{3} (?:—|/|\|) \p{Lu}",
     r"(?m)^[^:\n]{1,40}: ?\d{1,4}\.?[ \t]*$",
     r"[:.] ?(?:[\[—–-] ?\d{1,4} ?[\]—–-]|[Pp](?:age|\.) ?\d)",
+    r"(?m)^[ \t]*[^\p{L}\p{N}\n]{0,4}\d{1,4}[^\p{L}\p{N}\n]{0,4}(?:\d{1,4}[^\p{L}\p{N}\n]{0,4})?[ \t]*$",
+    r"(?m)^[ \t]*\p{Lu}.{2,90}(?:::|[•·~»*]|\b[Pp]age|\b[Pp]\.|\bno|\bn°) ?\d{1,4}[^\p{L}\n]{0,10}$",
 )
 
 
@@ -154,14 +162,185 @@ def is_head(line: str) -> bool:
     return bool(HEAD.fullmatch(line)) and not _INNER.search(_PAGE_ENDS.sub("", line))
 
 
+class Page:
+    """The lines of a text with what the furniture model asks of them."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        form = [2 if PAGE.fullmatch(x) else 1 if NUMBER.fullmatch(x) or is_head(x) else 0 for x in lines]
+        for i in range(len(lines) - 1):  # a head that was wrapped, known by its page number, mark or capitals
+            if not form[i] and PAGE_SIGN.fullmatch(lines[i]) and PAGE_REST.fullmatch(lines[i + 1]):
+                form[i] = form[i + 1] = 2
+            elif not form[i] and not form[i + 1]:
+                both = f"{lines[i].rstrip()} {lines[i + 1].strip()}"
+                if len(both) < 150 and is_head(both) and (_MARKED.search(both) or both.isupper()):
+                    form[i] = form[i + 1] = 3
+        self.form = form
+        self.masked = [_FIGURES.sub("#", x.strip()) for x in lines]
+        self.times = Counter(self.masked)
+        plain = [i for i, x in enumerate(lines) if x.strip() and not form[i]]
+        self.before, self.after, last = [""] * len(lines), [""] * len(lines), ""
+        for i, x in enumerate(lines):
+            self.before[i] = last
+            if x.strip() and not form[i]:
+                last = x
+        last = ""
+        for i in range(len(lines) - 1, -1, -1):
+            self.after[i] = last
+            if lines[i].strip() and not form[i]:
+                last = lines[i]
+        self.first, self.last = (plain[0], plain[-1]) if plain else (0, 0)
+
+    def context(self, i: int) -> tuple:
+        """Form, whether the sentence before is open, how the line after begins, table row, text around, nothing after."""
+        x, before, after = self.lines[i], self.before[i], self.after[i]
+        opened = "-" if not before else "o" if not OPEN_END.search(before) else "s"
+        goes_on = "-" if not after else "l" if after.strip()[:1].islower() else "x"
+        return self.form[i], opened, goes_on, "|" in x and ("|" in before or "|" in after), any(c.isalpha() for c in before + after)
+
+    def likely(self, i: int) -> bool:
+        """What a line of known form would be without a model: amid a sentence, or of a form that nothing else has."""
+        f, opened, goes_on, cell, letters = self.context(i)
+        if f in (1, 3) and cell:
+            return False
+        amid = opened == "o" or opened != "-" and goes_on == "l"
+        return amid and (goes_on != "-" or f == 2) or f == 2 and not cell and opened != "-" and goes_on != "-" and letters
+
+    def possible(self, i: int) -> bool:
+        """Whether a line of no known form may be furniture: short, parting a sentence, with a figure or some letters."""
+        x = self.lines[i].strip()
+        if self.form[i] or not 3 <= len(x) <= 110 or not self.first < i < self.last or not (any(c.isdigit() for c in x) or sum(c.isalpha() for c in x) > 8) or _ITEM.match(x):
+            return False
+        return self.context(i)[1:3] == ("o", "l")
+
+    def features(self, i: int) -> list[str]:
+        f, opened, goes_on, cell, letters = context = self.context(i)
+        x = self.lines[i].strip()
+        around = f"{opened}{goes_on}"
+        bare = x.strip(_RIM)
+        shape = f"{x[:1].isdigit():d}{x[-1:].isdigit():d}{bare.isdigit():d}{bool(bare) and bare.isupper():d}{x[:1].isupper():d}{bool(_PARTED.search(x)):d}{x[-1:] in '.!?;:,':d}"
+        near = any(0 <= j < len(self.lines) and self.form[j] == 2 for j in (i - 1, i + 1))
+        again = min(self.times[self.masked[i]], 3)
+        own = "u" if not f else "k"  # lines of known and of unknown form are told apart by weights of their own
+        return [own + x for x in (
+            "1", f"f{f}", f"c{context}", f"s{shape}", f"s{shape}{around}", f"n{min(len(x) // 15, 6)}", f"n{min(len(x) // 15, 6)}{around}", f"w{min(x.count(' '), 8)}", f"t{min(i - self.first, 4)}", f"b{min(self.last - i, 4)}",
+            f"r{again}{around}", f"p{near:d}{around}", f"u{x[:1].isupper():d}{around}", f"m{self.masked[i][:2]}{around}", f"e{self.masked[i][-2:]}{around}",
+        )]
+
+
+_ITEM = regex.compile(r"[-–•] ?\p{Ll}|\d+\)|[Aa]rt(?:icle)?\b")  # list items and articles, which open a line by right
+_FIGURES, _PARTED, _RIM = regex.compile(r"\d+"), regex.compile(r"(?:^|\s)(?:—|/|\||-|::|[•·~»*])(?:\s|$)"), " -–—[](){}|/:•·~»*."
+#: Forms of numbers and heads put into lessons, known ones and others: numbers ``n`` and ``m``, titles ``a`` and ``b``.
+_INSERTS = (
+    "- {n} -", "[{n}]", "Page {n}", "p. {n}/{m}", "{n}", "{n} / {m}", "— {n} —", "{n} |", "~ {n} ~", "• {n} •", "::{n}::", "{n} sur {m}", "*{n}*", "« {n} »",
+    "{a} — {b}", "{a} | {b}   {n}", "{n}   {a} / {b}", "page {n} {a} - {b}", "{a} — {b} (suite)", "{a} :: page {n}", "{a} • {n}", "{a} · {b} · {n}", "{n} :: {a}", "{a} ~ {b}", "{a} * {n}", "{a}, page {n} sur {m}", "{n} • {a}",
+)
+
+
+class FurnitureModel:
+    """Averaged perceptron over lines: whether a line is a running head or a page number."""
+
+    def __init__(self):
+        self.weights: dict[str, float] = {}
+        self.least = float("inf")  # for lines of no known form
+
+    def score(self, page: Page, i: int) -> float:
+        return sum(self.weights.get(f, 0.0) for f in page.features(i))
+
+    def train(self, lessons: list[tuple[list[str], bool]], held: list[tuple[list[str], bool]], epochs: int = 20) -> None:
+        """Weights from ``lessons``; lines of no known form must beat all but the share ``LOST`` of such lines of ``held``."""
+        total, now, step = defaultdict(float), defaultdict(float), 0
+        for _ in range(epochs):
+            wrong = 0
+            for features, right in lessons:
+                step += 1
+                if (sum(now[f] for f in features) > 0) != right:
+                    wrong += 1
+                    for f in features:
+                        now[f] += 1.0 if right else -1.0
+                        total[f] += step if right else -step
+            if not wrong:
+                break
+        self.weights = {f: w - total[f] / max(step, 1) for f, w in now.items()}
+        other = [sum(self.weights.get(f, 0.0) for f in features) for features, right in held if not right and features[0] == "u1"]
+        self.least = max(0.5, float(np.quantile(other, 1 - LOST, method="higher"))) if other else float("inf")
+
+    def taken(self, page: Page) -> set[int]:
+        out = set()
+        for i, x in enumerate(page.lines):
+            if not x.strip() or not page.before[i]:
+                continue
+            if page.form[i]:
+                if self.score(page, i) > 0:
+                    out.add(i)
+            elif page.possible(i) and self.score(page, i) > self.least:
+                out.add(i)
+        return out
+
+
+def furniture_lessons(texts: list[str], lexicon: dict[str, int], seed: int = 17) -> list[tuple[list[str], bool]]:
+    """Features and label of lines of pages made from ``texts``: their own, wrapped anew where they have few, and furniture
+    put between them. Own lines of a known form are labelled by ``Page.likely``, as are put ones of a known form; other
+    forms are lessons where they part a sentence, beside own lines that do."""
+    rng = np.random.default_rng(seed)
+    words = sorted(w for w in lexicon if len(w) > 2 and w.isalpha())
+    if not words:
+        return []
+    title = lambda: " ".join(str(words[k]) for k in rng.integers(0, len(words), int(rng.integers(2, 5))))
+    out = []
+    for text in texts:
+        lines = text.split("\n")
+        if len(lines) < 6:
+            tokens, lines, width = text.split(), [], int(rng.integers(40, 100))
+            for t in tokens:
+                if lines and len(lines[-1]) + len(t) < width:
+                    lines[-1] += " " + t
+                else:
+                    lines.append(t)
+        style = str.upper if rng.random() < 0.5 else str.capitalize
+        heads, put = (style(title()), style(title())), set()
+        form = _INSERTS[int(rng.integers(len(_INSERTS)))]
+        for _ in range(max(1, len(lines) // int(rng.integers(5, 12)))):
+            if len(lines) > 3:
+                n = int(rng.integers(1, 900))
+                new = _INSERTS[int(rng.integers(len(_INSERTS)))] if rng.random() < 0.5 else form
+                at = int(rng.integers(1, len(lines)))
+                made = [new.format(n=n, m=n + 40, a=heads[0], b=heads[1])]
+                row = rng.random() < 0.25  # rows of a table, which are no furniture
+                if row:
+                    end = "." if rng.random() < 0.5 else ""
+                    made = [f"{style(title())} | {n}{end}", *[f"{n} |", f"{n}", f"{style(title()) if rng.random() < 0.7 else title()} | {n + 1}{end}"][int(rng.integers(3)) :]]
+                elif rng.random() < 0.2 and " " in made[0]:  # wrapped
+                    gaps = [j for j, c in enumerate(made[0]) if c == " "]
+                    cut = gaps[int(rng.integers(len(gaps)))]
+                    made = [made[0][:cut].rstrip(), made[0][cut:].lstrip()]
+                lines[at:at] = made
+                put = {j + len(made) * (j >= at) for j in put} | (set() if row else set(range(at, at + len(made))))
+        page = Page(lines)
+        for i, x in enumerate(lines):
+            if not x.strip() or not page.before[i]:
+                continue
+            if page.form[i]:
+                out.append((page.features(i), page.likely(i)))
+            elif not page.possible(i):
+                continue
+            else:
+                out.append((page.features(i), i in put))
+    return out
+
+
 class ScanRepair:
     """Lexicon and editor, and what they do to one text."""
 
-    def __init__(self, lexicon: dict[str, int], words: int):
+    def __init__(self, lexicon: dict[str, int], words: int, pages: list[str] | None = None):
         self.lexicon = lexicon
         self.sure = 2 * max(OFTEN, SHARE * words)
         self.editor = CharacterEditor()
         self.editor.train(lessons_from(lexicon))
+        self.furnished = FurnitureModel()
+        pages = pages or [" ".join(sorted(lexicon))]
+        lessons = furniture_lessons(pages * max(1, 300 // len(pages)), lexicon)
+        self.furnished.train([x for k, x in enumerate(lessons) if k % 3], lessons[::3])
         self.letters = {c for w in lexicon for c in w if c.isalpha()}
         self.longest = max(map(len, lexicon), default=0)
         self.fixed: dict[str, str | None] = {}
@@ -227,35 +406,9 @@ class ScanRepair:
                 return f"{word[0]} {rest}" if cut == 1 else f"{rest} {word[-1]}"
         return word if len(word) > 4 else m.group()
 
-    @staticmethod
-    def furniture(lines: list[str]) -> set[int]:
-        """Lines that are page numbers or running heads: by form, and standing amid an unfinished sentence.
-
-        Forms that only a page number has need no sentence, just text before and after.
-        """
-        form = [2 if PAGE.fullmatch(x) else 1 if NUMBER.fullmatch(x) or is_head(x) else 0 for x in lines]
-        for i in range(len(lines) - 1):  # a head that was wrapped, known by its page number, mark or capitals
-            if not form[i] and PAGE_SIGN.fullmatch(lines[i]) and PAGE_REST.fullmatch(lines[i + 1]):
-                form[i] = form[i + 1] = 2
-            elif not form[i] and not form[i + 1]:
-                both = f"{lines[i].rstrip()} {lines[i + 1].strip()}"
-                if len(both) < 150 and is_head(both) and (_MARKED.search(both) or both.isupper()):
-                    form[i] = form[i + 1] = 1
-        out = set()
-        for i, f in enumerate(form):
-            if not f:
-                continue
-            before = next((lines[j] for j in range(i - 1, -1, -1) if lines[j].strip() and not form[j]), "")
-            after = next((lines[j] for j in range(i + 1, len(lines)) if lines[j].strip() and not form[j]), "")
-            if f == 1 and "|" in lines[i] and ("|" in before or "|" in after):
-                continue  # a row of a table
-            starts = after.strip()[:1]
-            amid = bool(before) and not OPEN_END.search(before) or bool(before) and starts.islower()
-            cell = "|" in lines[i] and ("|" in before or "|" in after)
-            between = f == 2 and not cell and bool(before) and bool(after) and any(c.isalpha() for c in before + after)
-            if amid and (after or f == 2) or between:
-                out.add(i)
-        return out
+    def furniture(self, lines: list[str]) -> set[int]:
+        """Lines that are page numbers or running heads, by the learned model. The first text line is none."""
+        return self.furnished.taken(Page(lines))
 
     def repair(self, text: str) -> tuple[str, int]:
         """The text as continuous paragraphs, and the number of traces of scanning in it."""
@@ -332,12 +485,16 @@ def _counted(total: Counter) -> pa.RecordBatch:
 
 
 def fit_scan_repair(texts: DataFrame) -> ScanRepair:
-    """Count the words of all texts, keep those above the share (at most 1 / ``SHARE`` of them) and train the editor."""
-    counts = word_counts(texts).persist()
+    """Count the words of all texts, keep those above the share (at most 1 / ``SHARE`` of them) and train both models.
+
+    The furniture model learns from up to ``PAGES`` texts, picked by their hash.
+    """
+    counts = staged(word_counts(texts), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = counts.where(F.col("n") >= max(OFTEN, SHARE * total)).collect()
-    counts.unpersist()
-    return ScanRepair({r[0].strip("-"): r[1] for r in rows}, total)
+    column = texts.columns[0]
+    pages = texts.where(F.length(column).between(*PAGE_CHARS)).orderBy(F.xxhash64(column)).limit(PAGES).collect()
+    return ScanRepair({r[0].strip("-"): r[1] for r in rows}, total, [r[0] for r in pages])
 
 
 def repair_texts(df: DataFrame, repairer: ScanRepair) -> DataFrame:

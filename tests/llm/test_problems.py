@@ -274,6 +274,28 @@ def test_page_numbers_between_whole_sentences_go(repairer):
         assert not repairer.furniture(lines)
 
 
+def test_heads_of_unseen_form_go_by_their_place(repairer):
+    for line in ("Bulletin officiel :: page 12", "~ 12 ~", "BULLETIN OFFICIEL • 37"):
+        assert not any(p.fullmatch(line) for p in (scans.PAGE, scans.NUMBER)) and not scans.is_head(line)
+        lines = ["La commune verse la retenue au", line, "bureau de la commune. La société", "dépose une déclaration"]
+        assert repairer.furniture(lines) == {1}, line
+        assert repairer.repair("\n".join(lines)) == ("La commune verse la retenue au bureau de la commune. La société dépose une déclaration", 1)
+    assert not repairer.furniture(["La commune verse la retenue au", "bureau de la commune. La société", "dépose une déclaration annuelle.", "Le crédit fiscal réduit la"])
+
+
+def test_furniture_is_learned_on_held_out_pages(repairer):
+    rng = np.random.default_rng(77)
+    names = sorted(repairer.lexicon)
+    pages = [" ".join(rng.choice(names, 80)) + "." for _ in range(40)]
+    lessons = scans.furniture_lessons(pages, repairer.lexicon, seed=78)
+    model = repairer.furnished
+    said = [sum(model.weights.get(f, 0.0) for f in features) > (0 if features[0] == "k1" else model.least) for features, _ in lessons]
+    true = [right for _, right in lessons]
+    both = sum(a and b for a, b in zip(said, true))
+    assert sum(true) > 40 and both / max(sum(said), 1) >= 0.97 and both / sum(true) >= 0.75
+    assert scans.furniture_lessons([], repairer.lexicon) == [] and scans.ScanRepair({}, 0).furniture(["a b", "12", "c"]) == set()
+
+
 def test_traces_of_scans_are_repaired(repairer):
     cases = {
         "la décla-\nration annuelle": "la déclaration annuelle", "la décla¬\n  ration annuelle": "la déclaration annuelle", "la c o m m u n e dépose": "la commune dépose",
