@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabularium.functions.segment import let
-from tabularium.llm.words import distinct_runs, runs, word_hashes
+from tabularium.llm.words import distinct_runs, picked, runs, word_hashes
 from tabularium.plans.staging import staged
 from tabularium.sources.tables import table
 
@@ -203,22 +202,19 @@ def fit_repetition_list(df: DataFrame, stats: DataFrame, key: str, text: str, le
     there the list guesses. Without positives or negatives nothing can be learned: no rule, or one that takes all.
     """
     able = stats.where(F.col("n_words") >= least_words)
-    rows = able.count()
-    many = max(1, ceil(rows / sample_rows))
 
     def labelled(keys: DataFrame) -> pd.DataFrame:
         judged = df.select(key, text).join(F.broadcast(keys), key).select(key, exact_label(F.col(text), least_words, share).alias("y"))  # at most 2 * sample_rows keys
         return able.join(F.broadcast(judged), key).select(*STATISTICS, "y").toPandas()
 
-    got = labelled(able.where(F.pmod(F.xxhash64(F.col(key)), F.lit(many)) == 0).select(key).limit(2 * sample_rows))
+    got = labelled(picked(able.select(key), key, sample_rows))
     for k in range(rounds + 1):
         x, y = got[list(STATISTICS)].to_numpy(float), got["y"].to_numpy(bool)
         rules = learn_decision_list(x, y) if y.any() and not y.all() else [([(0, True, least_words - 1.0)], 1.0)] if len(y) and y.all() else []
         zones = [(F.col(c) > low) & (F.col(c) < high) for c, low, high in _between(rules, x)]
         if k == rounds or not zones:
             return rules, got
-        near = able.where(reduce(lambda a, b: a | b, zones)).select(key).orderBy(F.xxhash64(key)).limit(sample_rows)
-        more = labelled(near)
+        more = labelled(picked(able.where(reduce(lambda a, b: a | b, zones)).select(key), key, sample_rows))
         if not len(more):
             return rules, got
         got = pd.concat([got, more], ignore_index=True)

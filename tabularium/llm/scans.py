@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabularium.llm.lookalikes import plain_form
-from tabularium.llm.words import slices
+from tabularium.llm.words import picked, slices
 from tabularium.plans.staging import staged
 from tabularium.sources.tables import table
 
@@ -487,13 +487,13 @@ def _counted(total: Counter) -> pa.RecordBatch:
 def fit_scan_repair(texts: DataFrame) -> ScanRepair:
     """Count the words of all texts, keep those above the share (at most 1 / ``SHARE`` of them) and train both models.
 
-    The furniture model learns from up to ``PAGES`` texts, picked by their hash.
+    The furniture model learns from about ``PAGES`` texts, picked by their hash.
     """
     counts = staged(word_counts(texts), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = counts.where(F.col("n") >= max(OFTEN, SHARE * total)).collect()
     column = texts.columns[0]
-    pages = texts.where(F.length(column).between(*PAGE_CHARS)).orderBy(F.xxhash64(column)).limit(PAGES).collect()
+    pages = picked(texts.where(F.length(column).between(*PAGE_CHARS)), column, PAGES).collect()
     return ScanRepair({r[0].strip("-"): r[1] for r in rows}, total, [r[0] for r in pages])
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 #: Texts are taken in slices of about this many bytes, which bounds the memory of the intermediate strings.
 SLICE_BYTES = 4 << 20
@@ -22,6 +23,18 @@ OWNER_BITS = 24
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def picked(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of ``df`` by the hash of ``key``, all of them if there are no more, and never above twice as many.
+
+    A threshold on the hash is applied where the rows are, so what reaches one place doesn't grow with the partitions.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    share = int(most / n * (1 << 62)) * 2  # of the non-negative half of the hashes
+    return df.where(F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1)) < share).limit(2 * most)
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``SLICE_BYTES``; a single longer text is a range of its own."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
