@@ -30,11 +30,20 @@ def last_turns(turns: DataFrame, conversation: str, turn: str, n: int = 4) -> Da
     return turns.withColumn("_r", F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(turn)))).where(F.col("_r") <= n).drop("_r")
 
 
+#: Where a generated text lists its abbreviations, in the order they are tried (fixed values).
+ABBREVIATIONS = (r"--- SECTION 5.*?ABRÉVIATIONS.*?:\s*(.*?)(?=---|\z)", r"5\.\s*DOCUMENTS.*?ABRÉVIATIONS.*?:\s*(.*?)(?=5\.|\z)", r"ABRÉVIATIONS\s*:\s*(.*?)(?=---|Sources|\z)")
+
+
+def abbreviations(text: Column, least: int = 100) -> Column:
+    """The first of the known forms whose text is longer than ``least`` characters, else an empty text."""
+    found = [strip(F.regexp_extract(text, "(?isdU)" + p, 1)) for p in ABBREVIATIONS]
+    return F.coalesce(*[F.when(F.length(x) > least, x) for x in found], F.lit(""))
+
+
 def generated_sections(text: Column) -> Column:
-    """Struct of the numbered sections of a generated text; a missing one is empty."""
-    body = lambda i, word: strip(F.regexp_extract(text, rf"(?isdU)--- SECTION {i}.*?{word}.*?\n(.*?)--- SECTION {i + 1}", 1))
-    tail = strip(F.regexp_extract(text, r"(?isdU)--- SECTION 5[^\n]*\n(.*)\z", 1))
-    return F.struct(*[body(i, w).alias(k) for k, (i, w) in SECTIONS.items()], tail.alias("ABREVIATIONS"))
+    """Struct of the numbered sections of a generated text; a missing one is empty, and so are all of a null text."""
+    body = lambda i, word: F.coalesce(strip(F.regexp_extract(text, rf"(?isdU)--- SECTION {i}.*?{word}.*?\n(.*?)--- SECTION {i + 1}", 1)), F.lit(""))
+    return F.struct(*[body(i, w).alias(k) for k, (i, w) in SECTIONS.items()], abbreviations(text).alias("ABREVIATIONS"))
 
 
 def filled_template(template: Column, values: dict[str, Column], markup: bool = False) -> Column:

@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabularium.plans.staging import shared_dir
+from tabularium.plans.staging import discard_later, shared_dir
 from tabularium.sources.tables import table
 from tabularium.streaming import ingest
 
 
 def _target(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tabularium-stream-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tabularium-stream-{name}-{uuid.uuid4().hex}"
+    discard_later(spark, path + "-offsets")
+    return discard_later(spark, path)
 
 
 def stream_upsert(spark: SparkSession, root: str) -> DataFrame:
@@ -29,17 +31,11 @@ def stream_windows(spark: SparkSession, root: str) -> DataFrame:
     # the wall clock of the events taken as UTC, whatever the session's zone
     clock = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     stream = ingest.stream_files(spark, f"{root.rstrip('/')}/events.parquet", rows.schema).withColumn("ts", clock)
-    counts = ingest.windowed_counts(stream, "ts", "30 days", "1 day", "event_type")
+    counts = ingest.windowed_counts(stream, "ts", "30 days", "1 day", "event_type").select(F.col("window.start").alias("day"), "event_type", "n")
     at = _target(spark, "windows")
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.select(F.col("window.start").alias("day"), "event_type", "n").write.mode("overwrite").parquet(f"{at}/batch_id={batch_id}")
-
-    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", at + "-offsets").trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = spark.read.parquet(at)
-    last = out.agg(F.max("batch_id")).first()[0]
-    return out.where(F.col("batch_id") == last).select(F.date_from_unix_date(F.floor(F.unix_seconds("day") / 86400).cast("int")).cast("string").alias("day"), "event_type", "n")
+    ingest.run_windows(counts, at)
+    out = ingest.window_state(spark, at, ["day", "event_type"])
+    return out.select(F.date_from_unix_date(F.floor(F.unix_seconds("day") / 86400).cast("int")).cast("string").alias("day"), "event_type", "n")
 
 
 QUERIES = {"stream_upsert": stream_upsert, "stream_windows": stream_windows}

@@ -48,9 +48,13 @@ def folder_counts(files: DataFrame) -> DataFrame:
     return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def processed_json(spark: SparkSession, path: str, schema: StructType = INDEX_CHUNK) -> DataFrame:
-    """Chunk files as written by ``write_json``; damaged records come out as nulls instead of failing the job."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(path)
+def processed_json(spark: SparkSession, path: str, schema: StructType = INDEX_CHUNK, whole_files: bool = False, glob: str | None = None) -> DataFrame:
+    """Chunk files, one object in a line as ``write_json`` leaves them, or with ``whole_files`` an indented array in a file.
+
+    Damaged records come out as nulls instead of failing the job. Whole files can't be split, lines can.
+    """
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", whole_files).option("recursiveFileLookup", "true")
+    rows = (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
     return rows.withColumn("source_file", F.col("_metadata.file_name"))
 
 
@@ -125,6 +129,52 @@ def text_embedder(text: Column, dim: int = 64) -> Column:
     return embed(text)
 
 
+def stored_chunks(chunks: DataFrame, most: int = 5000) -> DataFrame:
+    """Chunks as the graph stores them: texts of at most ``most`` characters."""
+    return chunks.withColumn("text", F.substring("text", 1, most))
+
+
+def filled_documents(templates: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Word-processing files with ``{{NAME}}`` tokens filled: ``(key, content, error)``.
+
+    ``templates`` has ``(key, content)`` with zipped parts; ``values`` has ``(key, filled map<string,string>)``, already
+    escaped or as runs. Every XML part is decoded as UTF-8, else as UTF-16, and written back in its own coding; other parts
+    are copied. A file that is no zip, or a null one, comes out null with its error.
+    """
+    import io
+    import zipfile
+
+    kind = templates.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents, errors = [], []
+            for content, filled in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                try:
+                    out = io.BytesIO()
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+                        for part in old.infolist():
+                            data = old.read(part)
+                            if part.filename.endswith(".xml"):
+                                try:
+                                    text, coding = data.decode("utf-8"), "utf-8"
+                                except UnicodeDecodeError:
+                                    text, coding = data.decode("utf-16"), "utf-16"
+                                for token, value in filled or ():
+                                    text = text.replace("{{" + token + "}}", value or "")
+                                data = text.encode(coding)
+                            new.writestr(part, data)
+                    contents.append(out.getvalue())
+                    errors.append(None)
+                except Exception as x:
+                    contents.append(None)
+                    errors.append(f"{type(x).__name__}: {x}"[:300])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=["_key", "content", "error"])
+
+    joined = templates.select(F.col(key).alias("_key"), "content").join(values.select(F.col(key).alias("_key"), "filled"), "_key", "left")
+    return joined.mapInArrow(run, f"_key {kind}, content binary, error string").withColumnRenamed("_key", key)
+
+
 def no_answer(prompt: str) -> str:
     """Offline stand-in for a language model."""
     return ""

@@ -26,12 +26,18 @@ def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str =
 
 
 def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> int:
-    """Process what is there now and stop. Returns the number of batches of this run."""
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process what is there now and stop. Returns the number of batches of this run, counted as they are written."""
+    done: set[int] = set()
+
+    def counted(df: DataFrame, batch_id: int) -> None:
+        batch(df, batch_id)
+        done.add(batch_id)
+
+    query = stream.writeStream.foreachBatch(counted).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return len(query.recentProgress)
+    return len(done)
 
 
 def append_log(target: str, ok: Column | None = None) -> Callable[[DataFrame, int], None]:
@@ -59,6 +65,27 @@ def windowed_counts(stream: DataFrame, ts: str, late: str, size: str, *keys: str
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_windows(counts: DataFrame, target: str, checkpoint: str | None = None) -> None:
+    """Windowed counts in update mode: a batch writes the windows that it changed, under its number.
+
+    State of windows behind the watermark is dropped, and rows that come later than that count no more.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint or target + "-offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def window_state(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The last count of each window that ``run_windows`` left."""
+    rows = spark.read.parquet(target)
+    return rows.groupBy(*keys).agg(F.max_by("n", "batch_id").alias("n"))
+
+
 def once_by_key(stream: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     """Each key once within the watermark: resuming a delivery repeats nothing."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])

@@ -153,7 +153,11 @@ def test_context_and_sections(spark):
     assert report.context_of(kept, "req", "text", "place").first().context == "[1] d — p.2\nA\n\n[2] d — 2020 — p.4 — Art. 1\nB"
     answer = "--- SECTION 1 : COMPRÉHENSION DES FAITS\nf\n--- SECTION 2 : ÉTENDUE\ne\n--- SECTION 3 SOMMAIRE\ns\n--- SECTION 4 ANALYSES\na\n--- SECTION 5 ABRÉVIATIONS\nTVA"
     got = spark.createDataFrame([(answer,)], "t string").select(report.generated_sections(F.col("t")).alias("s")).first().s
-    assert tuple(got) == ("f", "e", "s", "a", "TVA")
+    assert tuple(got) == ("f", "e", "s", "a", "")  # a list of abbreviations has more than a hundred signs
+    long = "TVA : taxe sur la valeur ajoutée. " * 4
+    forms = [f"--- SECTION 5 DOCUMENTS ET ABRÉVIATIONS : {long}--- fin", f"5. DOCUMENTS ET ABRÉVIATIONS :\n{long}", f"Abréviations : {long}\nSources : x", "ABRÉVIATIONS : TVA", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(forms)], "i int, t string").select("i", report.generated_sections(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [r.s.ABREVIATIONS for r in rows] == [long.strip()] * 3 + ["", ""] and rows[4].s.FAITS == ""
     assert spark.range(1).select(report.filled_template(F.lit("<{{X}}>"), {"X": F.lit("a&b")})).first()[0] == "<a&amp;b>"
 
 
@@ -193,6 +197,71 @@ def test_stream_resumes_and_upserts(spark, tmp_path):
     assert spark.read.parquet(log + "_failed").where("k = 'c'").count() == 1
 
 
+def test_late_rows_count_no_more(spark, tmp_path):
+    src, at = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda d: datetime.datetime(2024, 1, d, 12)
+    schema = "ts timestamp, kind string"
+    run = lambda: ingest.run_windows(ingest.windowed_counts(ingest.stream_files(spark, src, spark.createDataFrame([], schema).schema, files_per_batch=1), "ts", "2 days", "1 day", "kind").select(F.col("window.start").alias("day"), "kind", "n"), at)
+    for rows in ([(day(1), "a"), (day(1), "a"), (day(10), "a")], [(day(9), "a"), (day(1), "late")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        run()
+    got = {(r.day.day, r.kind): r.n for r in ingest.window_state(spark, at, ["day", "kind"]).collect()}
+    assert got == {(1, "a"): 2, (9, "a"): 1, (10, "a"): 1}
+
+
+def test_batches_are_counted_beyond_the_kept_progress(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.range(0, 4, 1, 4).write.parquet(src)
+    seen = []
+    n = ingest.run_available(ingest.stream_files(spark, src, spark.range(1).schema, files_per_batch=1), str(tmp_path / "cp"), lambda df, i: seen.append(i))
+    assert n == len(set(seen)) == 4
+
+
+def test_status_of_files(spark):
+    rows = [("a", "failed", None, "x" * 400, "2024-01-01 10:00", None), ("a", "done", 5, None, "2024-01-02 10:00", "o"), ("b", "failed", None, "y" * 400, "2024-01-01 10:00", None), ("c", "in_progress", None, None, None, None), ("a", "in_progress", None, None, "2024-01-02 10:00", None)]
+    state = ingest.latest_status(spark.createDataFrame(rows, "filename string, status string, chunks int, error string, timestamp_text string, output string"))
+    got = {r.filename: r for r in state.collect()}
+    assert (got["a"].status, got["a"].chunks, got["a"].output) == ("done", 5, "o") and len(got["b"].error) == 300 and got["c"].status == "in_progress"
+    assert tuple(ingest.run_counters(spark.createDataFrame([("a",), ("b",), ("n",)], "filename string"), state).first()) == (1, 1, 2, 5)
+
+
+def test_whole_json_files_and_templates(spark, tmp_path):
+    import io
+    import zipfile
+
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a_processed.json").write_text('[\n  {"chunk_id": "1",\n   "content": "é"},\n  {"chunk_id": "2"}\n]')
+    (tmp_path / "j" / "b.json").write_text("[]")
+    rows = files.processed_json(spark, str(tmp_path / "j"), whole_files=True, glob="*_processed.json").orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.content, r.source_file) for r in rows] == [("1", "é", "a_processed.json"), ("2", None, "a_processed.json")]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", "<a>{{X}} é</a>")
+        z.writestr("word/other.xml", "<b>{{X}}</b>".encode("utf-16"))
+        z.writestr("media.bin", b"{{X}}")
+    df = spark.createDataFrame([(1, bytearray(out.getvalue())), (2, bytearray(b"none")), (3, None)], "id int, content binary")
+    got = {r.id: r for r in files.filled_documents(df, spark.createDataFrame([(1, {"X": "v&amp;"})], "id int, filled map<string,string>"), "id").collect()}
+    with zipfile.ZipFile(io.BytesIO(got[1].content)) as z:
+        assert z.read("word/document.xml").decode() == "<a>v&amp; é</a>" and z.read("word/other.xml").decode("utf-16") == "<b>v&amp;</b>" and z.read("media.bin") == b"{{X}}"
+    assert got[2].content is None and got[2].error and got[3].error
+    assert files.stored_chunks(spark.createDataFrame([("x" * 6000,), (None,)], "text string")).select(F.max(F.length("text"))).first()[0] == 5000
+
+
+def test_islands_of_recognised_rows(spark):
+    rows = [(1, f"a{y}", 0, y, 10, 8) for y in (0, 20, 40)] + [(1, f"b{y}", 50, y, 10, 8) for y in (0, 20, 40)] + [(1, "alone", 0, 60, 10, 8), (1, "c", 0, 80, 5, 8), (1, "d", 60, 80, 5, 8)]
+    lines = tables.word_rows(spark.createDataFrame([(*r, 90) for r in rows], "page int, text string, left int, top int, width int, height int, conf int"), ["page"])
+    assert [tuple(r) for r in tables.row_islands(lines, ["page"], 62, 200).collect()] == [(1, 1, 3, 0, 0, 62, 53)]
+
+
+def test_ranks_and_facets(spark):
+    df = spark.createDataFrame([(1, 4.0), (2, 8.0), (3, 0.01), (4, 4.0)], "id int, score double")
+    assert [(r.id, r.rank, r.percent) for r in search.ranked(df, "id").orderBy("rank").collect()] == [(2, 1, 100), (1, 2, 50), (4, 3, 50), (3, 4, 2)]
+    rows = spark.createDataFrame([("a", 1, "tva"), ("a", None, "TVA x"), ("b", 1, "rien"), (None, 2, "tva")], "k string, v int, text string")
+    got = {(r.field, r.value): r.n for r in search.facets(search.matching(rows, "text", "tva"), {"k": 5, "v": 1}).collect()}
+    assert got == {("k", "a"): 2, ("v", "1"): 1}
+    assert search.matching(rows, "text", " - ").count() == 0
+
+
 def test_files_and_adapters(spark, tmp_path):
     (tmp_path / "lois_finances").mkdir()
     (tmp_path / "lois_finances" / "a.pdf").write_bytes(b"un|deux")
