@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabularium.functions.extract import entities
+from tabularium.functions.segment import let
 from tabularium.functions.text import text_key
 
 
@@ -68,27 +70,42 @@ def topic_search(chunks: DataFrame, topics: list[str], limit: int) -> DataFrame:
     return scored.where("score > 0").orderBy(F.desc("score"), "doc_name", "page_num", "id").limit(limit)
 
 
-def scenario_topk(chunks: DataFrame, scenarios: DataFrame, primary: int = 8, secondary: int = 6, most: int = 10) -> DataFrame:
+def _matched_topics(fields: list[tuple[Column, float]], topics: list[str]) -> Column:
+    """``array<double>``: for each topic the weight of the first field that contains it, else 0. Fields are lowered once."""
+    lows = F.struct(*[F.coalesce(F.lower(x), F.lit("")).alias(f"f{i}") for i, (x, _) in enumerate(fields)])
+    wanted = F.transform(F.from_json(F.lit(json.dumps(topics)), "array<string>"), F.lower)
+
+    def one(low: Column, t: Column) -> Column:
+        out = F.when(F.coalesce(t == "", F.lit(True)), F.lit(0.0))
+        for i, (_, w) in enumerate(fields):
+            out = out.when(low[f"f{i}"].contains(t), F.lit(w))
+        return out.otherwise(F.lit(0.0))
+
+    return let(lows, lambda low: F.transform(wanted, lambda t: one(low, t)))
+
+
+def scenario_topk(chunks: DataFrame, scenarios: DataFrame, primary: int = 8, secondary: int = 6, most: int = 10, block: int = 1000) -> DataFrame:
     """For each scenario the best chunks for its topics and for all its topics, equal texts once, cut to ``most``.
 
-    Scenarios are a stated query set, checked to be few and taken along as literals, so the chunks are scanned once
-    and not joined; the top of each scenario is kept by partial rank limits before anything is shuffled.
+    Scenarios are a stated query set, asked in blocks of ``block``. Each distinct topic is looked for once in a chunk, and
+    scenarios add up the weights of theirs, so the chunks are scanned once for a block and not joined; the top of each
+    scenario is kept by partial rank limits before anything is shuffled. Null topics match nothing.
     """
-    rows = scenarios.select("idx", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), F.coalesce("extra_topics", F.array().cast("array<string>")).alias("extra")).orderBy("idx").limit(2001).collect()
-    if len(rows) > 2000:
-        raise ValueError("more than 2000 scenarios: ask in blocks")
-    lists = lambda r: ([t for t in r.topics], [t for t in [*r.topics, *r.extra]])
-    fields = topic_fields()
-    literal = lambda ts: F.array(*[F.lit(t) for t in ts]) if ts else F.array().cast("array<string>")
-    asked = [F.struct(F.lit(r.idx).alias("idx"), F.lit(src).alias("src"), topic_score(fields, literal(ts)).alias("score")) for r in rows for src, ts in enumerate(lists(r))]
-    if not asked:
-        asked = [F.struct(F.lit(0).alias("idx"), F.lit(0).alias("src"), F.lit(0.0).alias("score"))]
-    from pyspark.sql import Window
-
-    wide = chunks.select("id", "doc_name", "page_num", "text", F.explode(F.array(*asked)).alias("q")).select("id", "doc_name", "page_num", "text", "q.*").where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("idx", "src").orderBy(F.desc("score"), "doc_name", "page_num", "id"))
+    rows = scenarios.select("idx", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), F.coalesce("extra_topics", F.array().cast("array<string>")).alias("extra")).orderBy("idx").collect()
+    parts = []
+    for start in range(0, max(len(rows), 1), block):
+        asked = [(r.idx, src, ts) for r in rows[start : start + block] for src, ts in enumerate(([*r.topics], [*r.topics, *r.extra]))]
+        topics = list(dict.fromkeys(t for _, _, ts in asked for t in ts if t))
+        at = {t: i for i, t in enumerate(topics)}
+        questions = F.from_json(F.lit(json.dumps([{"idx": i, "src": s, "at": [at[t] for t in ts if t]} for i, s, ts in asked])), "array<struct<idx:int,src:int,at:array<int>>>")
+        weigh = lambda w: F.filter(F.transform(questions, lambda q: F.struct(q["idx"].alias("idx"), q["src"].alias("src"), F.aggregate(q["at"], F.lit(0.0), lambda s, i: s + F.get(w, i)).alias("score"))), lambda x: x["score"] > 0)  # noqa: E731, B023
+        weighed = chunks.select("id", "doc_name", "page_num", "text", _matched_topics(topic_fields(), topics).alias("_w")).where(F.exists("_w", lambda x: x > 0))
+        parts.append(weighed.select("id", "doc_name", "page_num", "text", F.explode(weigh(F.col("_w"))).alias("q")).select("id", "doc_name", "page_num", "text", "q.*"))
+    wide = reduce(lambda a, b: a.unionAll(b), parts)
+    order = [F.desc("score"), "doc_name", "page_num", "id"]
+    rank = F.row_number().over(Window.partitionBy("idx", "src").orderBy(*order))
     # a first cut in salted parts, so that no scenario's matches meet in one task
-    salt = Window.partitionBy("idx", "src", "salt").orderBy(F.desc("score"), "doc_name", "page_num", "id")
+    salt = Window.partitionBy("idx", "src", "salt").orderBy(*order)
     cut = wide.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rs", F.row_number().over(salt)).where(F.col("rs") <= max(primary, secondary)).drop("salt", "rs")
     kept = cut.withColumn("r", rank).where(F.col("r") <= F.when(F.col("src") == 0, primary).otherwise(secondary))
     first = F.row_number().over(Window.partitionBy("idx", text_key(F.col("text"))).orderBy("src", "r"))

@@ -1,17 +1,20 @@
 """Full-text search: BM25 over one or several fields, typo tolerance, filters, facets, highlights.
 
-A query names few terms, so nothing is exploded: each row counts the query's terms in its own token array, the corpus
-statistics are one aggregate row, and the best rows come from a distributed top-k. ``build_postings`` materialises an
-inverted index for workloads that ask the same corpus often.
+A query names few terms, so nothing is exploded or shuffled: each row counts the query's terms in its own words, the corpus
+statistics are observed in the same pass, and the best rows come from a distributed top-k. ``build_postings``
+materialises an inverted index for workloads that ask the same corpus often.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
+from tabularium.functions.segment import let
 from tabularium.functions.text import fold, tokens
+from tabularium.plans.staging import staged
 
 #: Term saturation and length normalisation: of the main field, and of the others (fixed values).
 MAIN, OTHER = (1.5, 0.6), (1.2, 0.75)
@@ -26,32 +29,42 @@ def query_terms(query: str | None) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(r"[\W_]+", text) if t))
 
 
-def field_scores(df: DataFrame, fields: dict[str, tuple[float, float]], terms: list[str], where: Column | None = None) -> DataFrame:
-    """``df`` filtered by ``where``, with ``score_<field>``; statistics come from the unfiltered corpus.
+def _holders(toks: Column, terms: list[str], near: dict[str, list[str]] | None) -> list[Column]:
+    """How often each term, or a variant of it, stands among the words."""
+    counts = lambda t: F.size(F.filter(toks, lambda x: x.isin(*variants) if len(variants := [t, *(near or {}).get(t, [])]) > 1 else x == t))
+    return [counts(t) for t in terms]
 
-    Two passes over the scanned columns, no shuffle besides the one-row statistics. Null fields have no score.
+
+def field_scores(df: DataFrame, fields: dict[str, tuple[float, float]], terms: list[str], where: Column | None = None, near: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows of ``df`` within ``where`` that hold a term in some field, with ``score_<field>``.
+
+    Texts are folded once: one pass counts the terms of every row, writes the few rows that hold one with their counts,
+    and observes the statistics of the whole, unfiltered corpus on the way. Null fields have no score. ``near`` lists other
+    spellings that count as the term.
     """
-    toks = {f: F.col(f"_t_{f}") for f in fields}
-    with_tokens = df.select("*", *[tokens(F.col(f)).alias(f"_t_{f}") for f in fields])
-    tf = {(f, i): F.size(F.filter(toks[f], lambda x: x == t)) for f in fields for i, t in enumerate(terms)}
+    def counted(f: str) -> Column:
+        return let(tokens(F.col(f)), lambda t: F.when(t.isNotNull(), F.struct(F.size(t).alias("n"), F.array(*_holders(t, terms, near)).alias("tf"))))
+
+    rows = df.select("*", *[counted(f).alias(f"_c_{f}") for f in fields])
     parts = []
     for f in fields:
-        n = F.size(toks[f])
-        parts += [F.count_if(n > 0).alias(f"_n_{f}"), F.avg(F.when(n > 0, n)).alias(f"_avg_{f}")]
-        parts += [F.count_if(F.array_contains(toks[f], t)).alias(f"_df_{f}_{i}") for i, t in enumerate(terms)]
-    stats = with_tokens.agg(*parts)
-    rows = (with_tokens if where is None else with_tokens.where(where)).crossJoin(F.broadcast(stats))  # one row
-    out = list(df.columns)
+        n = F.col(f"_c_{f}.n")
+        parts += [F.count_if(n > 0).alias(f"n_{f}"), F.avg(F.when(n > 0, n)).alias(f"avg_{f}")]
+        parts += [F.count_if(F.col(f"_c_{f}.tf")[i] > 0).alias(f"df_{f}_{i}") for i in range(len(terms))]
+    seen = Observation()
+    hit = reduce(lambda a, b: a | b, [F.coalesce(F.exists(f"_c_{f}.tf", lambda x: x > 0), F.lit(False)) for f in fields])
+    held = staged(rows.observe(seen, *parts).where(hit if where is None else hit & where), "hits")
+    stats = seen.get
     scores = []
     for f, (k1, b) in fields.items():
-        total = F.lit(0.0)
+        total, size = F.lit(0.0), F.col(f"_c_{f}.n")
+        all_rows, mean = stats.get(f"n_{f}") or 0, stats.get(f"avg_{f}") or 1.0
         for i in range(len(terms)):
-            d = F.col(f"_df_{f}_{i}")
-            idf = F.log(1 + (F.col(f"_n_{f}") - d + 0.5) / (d + 0.5))
-            count = tf[f, i].cast("double")
-            total = total + F.when(F.col(f"_t_{f}").isNotNull() & (count > 0), idf * count / (count + k1 * (1 - b + b * F.size(toks[f]) / F.col(f"_avg_{f}")))).otherwise(0.0)
-        scores.append(total.alias(f"score_{f}"))
-    return rows.select(*out, *scores)
+            d = stats.get(f"df_{f}_{i}") or 0
+            count = F.col(f"_c_{f}.tf")[i].cast("double")
+            total = total + F.when(count > 0, F.lit(math.log(1 + (all_rows - d + 0.5) / (d + 0.5))) * count / (count + k1 * (1 - b + b * size / F.lit(float(mean))))).otherwise(0.0)
+        scores.append(F.coalesce(total, F.lit(0.0)).alias(f"score_{f}"))
+    return held.select(*df.columns, *scores)
 
 
 def bm25(df: DataFrame, text: str, query: str, where: Column | None = None, params: tuple[float, float] = MAIN) -> DataFrame:
@@ -62,13 +75,24 @@ def bm25(df: DataFrame, text: str, query: str, where: Column | None = None, para
     return field_scores(df, {text: params}, terms, where).withColumnRenamed(f"score_{text}", "score").where("score > 0")
 
 
-def best_fields(df: DataFrame, boosts: dict[str, float], query: str, where: Column | None = None) -> DataFrame:
-    """Score of the best field after its boost; the first field is the main one."""
+def spellings(df: DataFrame, fields: list[str], terms: list[str]) -> dict[str, list[str]]:
+    """Words of the fields within the edits that each term's length allows: of each term the hundred commonest."""
+    if not terms:
+        return {}
+    words = reduce(lambda a, b: a.unionAll(b), [df.select(F.col(f).cast("string").alias("t")) for f in fields])
+    # a word per row before the shuffle, and of those only what is near a term
+    near = fuzzy_terms(vocabulary(words, "t"), terms).where("edits > 0")
+    ranked_words = near.groupBy("query_term").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("n"), "term"))), 1, 100).alias("w"))
+    return {r.query_term: [w.term for w in r.w] for r in ranked_words.collect()}
+
+
+def best_fields(df: DataFrame, boosts: dict[str, float], query: str, where: Column | None = None, fuzzy: bool = False) -> DataFrame:
+    """Score of the best field after its boost; the first field is the main one. ``fuzzy`` counts near spellings too."""
     terms = query_terms(query)
     if not terms:
         return df.withColumn("score", F.lit(0.0)).limit(0)
     main = next(iter(boosts))
-    scored = field_scores(df, {f: MAIN if f == main else OTHER for f in boosts}, terms, where)
+    scored = field_scores(df, {f: MAIN if f == main else OTHER for f in boosts}, terms, where, spellings(df, list(boosts), terms) if fuzzy else None)
     parts = [F.col(f"score_{f}") * w for f, w in boosts.items()]
     best = F.greatest(*parts) if len(parts) > 1 else parts[0]
     return scored.withColumn("score", best).drop(*[f"score_{f}" for f in boosts]).where("score > 0")

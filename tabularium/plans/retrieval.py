@@ -46,16 +46,39 @@ SELECT doc_id, source, round({_score_sql('w', '', 1.5, 0.6)}, 6) AS score FROM d
 """
 
 
+#: Boosts of the fields that a search asks (fixed values).
+BOOSTS = {"content": 3.0, "article_number": 2.0, "section_title": 1.5, "filename": 1.0}
+
+
 def bm25_fields_boost(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "index_chunk").select("row_no", "content", "section_title")
-    return search.top(search.best_fields(rows, {"content": 3.0, "section_title": 1.5}, QUERY), 50, "row_no").select("row_no", "score")
+    """The best of four fields, near spellings of the terms counted with them."""
+    rows = table(spark, root, "index_chunk").select("row_no", *BOOSTS)
+    return search.top(search.best_fields(rows, BOOSTS, TYPED, fuzzy=True), 50, "row_no").select("row_no", "score")
 
 
-_BOOST_SQL = f"""
-WITH d AS (SELECT row_no, {_tokens_sql('content')} w, {_tokens_sql('section_title')} h FROM index_chunk), s AS (SELECT {_stats_sql('w', 'c_')}, {_stats_sql('h', 't_')} FROM d),
-x AS (SELECT row_no, greatest(3.0 * {_score_sql('w', 'c_', 1.5, 0.6)}, 1.5 * {_score_sql('h', 't_', 1.2, 0.75)}) score FROM d, s)
-SELECT row_no, round(score, 6) AS score FROM x WHERE score > 0 ORDER BY 2 DESC, row_no LIMIT 50
-"""
+#: A query with slips of the pen, and how many edits its terms allow.
+TYPED, EDITS = "factre pétroliere retenue", {"factre": 2, "petroliere": 2, "retenue": 2}
+
+
+def _boost_sql() -> str:
+    # letters beyond ASCII become one sign, as this levenshtein counts bytes
+    short = {"content": "c", "article_number": "a", "section_title": "s", "filename": "f"}
+    terms = list(EDITS)
+    toks = ", ".join(f"{_tokens_sql(f)} {k}" for f, k in short.items())
+    vocab = " UNION ALL ".join(f"SELECT row_no, unnest(list_distinct({k})) term FROM d" for k in short.values())
+    near = f"SELECT q, list_concat([q], coalesce((list(term ORDER BY n DESC, term) FILTER (term IS NOT NULL))[:100], [])) ws FROM (SELECT unnest({terms}) q) LEFT JOIN (SELECT term, count(*) n FROM ({vocab}) GROUP BY 1) ON levenshtein(regexp_replace(term, '[^a-z0-9]', '~', 'g'), q) BETWEEN 1 AND 2 GROUP BY q"
+    held = ", ".join(f"any_value(ws) FILTER (q = '{t}') w{i}" for i, t in enumerate(terms))
+    counts = ", ".join(f"len(list_filter({k}, lambda t: list_contains(w{i}, t))) {k}{i}" for k in short.values() for i, t in enumerate(terms))
+    stats = ", ".join(f"count(*) FILTER (len({k}) > 0) n_{k}, avg(len({k})) FILTER (len({k}) > 0) avg_{k}, " + ", ".join(f"count(*) FILTER ({k}{i} > 0) df_{k}{i}" for i in range(len(terms))) for k in short.values())
+
+    def score(k: str, k1: float, b: float) -> str:
+        return "(" + " + ".join(f"CASE WHEN {k}{i} > 0 THEN ln(1 + (n_{k} - df_{k}{i} + 0.5) / (df_{k}{i} + 0.5)) * {k}{i} / ({k}{i} + {k1} * (1 - {b} + {b} * len({k}) / avg_{k})) ELSE 0 END" for i in range(len(terms))) + ")"
+
+    best = ", ".join(f"{w} * {score(short[f], *((1.5, 0.6) if f == 'content' else (1.2, 0.75)))}" for f, w in BOOSTS.items())
+    return f"WITH d AS (SELECT row_no, {toks} FROM index_chunk), near AS ({near}), m AS (SELECT {held} FROM near), t AS (SELECT *, {counts} FROM d, m), z AS (SELECT {stats} FROM t), x AS (SELECT row_no, greatest({best}) score FROM t, z) SELECT row_no, round(score, 6) AS score FROM x WHERE score > 0 ORDER BY 2 DESC, row_no LIMIT 50"
+
+
+_BOOST_SQL = _boost_sql()
 
 
 def filtered_search(spark: SparkSession, root: str) -> DataFrame:
