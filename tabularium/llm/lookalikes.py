@@ -250,5 +250,19 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return p5_clean(spark, root).where("n_changed > 0").select("row_no", "field")
 
 
-QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean}
-ORACLES: dict[str, str] = {}
+def p5_untouched(spark: SparkSession, root: str) -> DataFrame:
+    """What needs no other form comes out as it was."""
+    return p5_clean(spark, root).where("n_changed = 0 AND text IS NOT NULL").select("row_no", "field", F.md5("text").alias("text_md5"))
+
+
+# The classes of signs that the tables hold, as a plain rule: other blanks and hyphens, invisible signs, presentation and
+# full-width forms, detached accents, letters of two alphabets in a word, and Persian and Urdu letters in texts that have
+# none of the letters which only those languages use.
+_RULE_SQL = r"""(regexp_matches(text, '[\x{A0}\x{AD}\x{1680}\x{2000}-\x{2011}\x{202A}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FB00}-\x{FB06}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{FF01}-\x{FFEE}]|\p{L}[\x{300}-\x{36F}]|\p{Latin}\p{M}*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{M}*\p{Latin}')
+OR (regexp_matches(text, '[\x{6A9}\x{6CC}\x{6C1}\x{6BE}\x{6D5}\x{6D2}]') AND NOT regexp_matches(text, '[\x{67E}\x{686}\x{698}\x{6AF}]')))"""
+_FIELDS_SQL = "WITH t AS (SELECT row_no, 'content' AS field, content AS text FROM index_chunk UNION ALL SELECT row_no, 'section_title', section_title FROM index_chunk)"
+QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p5_untouched": p5_untouched}
+ORACLES = {
+    "p5_found": f"{_FIELDS_SQL} SELECT row_no, field FROM t WHERE {_RULE_SQL}",
+    "p5_untouched": f"{_FIELDS_SQL} SELECT row_no, field, md5(text) AS text_md5 FROM t WHERE NOT {_RULE_SQL}",
+}
