@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from tabularium.functions.extract import article_key, concepts, cross_refs, article_refs, chapter_refs, legal_terms, section_refs, thresholds
 from tabularium.functions.segment import cut_before, let, packed_by, packed_paragraphs, sentence_windows
 from tabularium.functions.text import document_type, strip
+from tabularium.plans.staging import staged
 
 # Headings (fixed values).
 ARTICLE = r"(?imdU)^(Art(?:icle)?\.?)\s*(\d+\s*(?:bis|ter)?|premier)\b"
@@ -63,39 +64,59 @@ def article_parts(text: Column) -> Column:
 def law_chunks(docs: DataFrame) -> DataFrame:
     """``docs`` (document_id, filename, document_type, text) by article; texts without one stay whole.
 
-    A preamble above 50 characters is a chunk. Articles above 2,000 characters come in numbered parts.
+    A preamble above 50 characters is a chunk. Articles above 2,000 characters come in numbered parts. One pass: what a
+    segment becomes is decided in its row.
     """
-    base = docs.withColumn("_s", cut_before(F.col("text"), ARTICLE))
-    whole = base.where(F.size("_s") == 1).select("document_id", "filename", "document_type", F.lit("full_document").alias("chunk_type"), F.lit("full").alias("_k"), strip(F.col("text")).alias("content"), F.lit(None).cast("string").alias("article_number"), F.lit(None).cast("int").alias("part"))
-    rows = base.where(F.size("_s") > 1).select("document_id", "filename", "document_type", F.posexplode("_s").alias("_i", "_t")).withColumn("_t", strip(F.col("_t")))
-    opening = rows.where((F.col("_i") == 0) & (F.length("_t") > 50)).select("document_id", "filename", "document_type", F.lit("preamble"), F.lit("preamble"), "_t", F.lit(None).cast("string"), F.lit(None).cast("int"))
-    articles = rows.where("_i > 0").withColumn("_n", strip(F.regexp_extract("_t", ARTICLE, 2)))
-    short = articles.where(F.length("_t") <= MOST_ARTICLE).select("document_id", "filename", "document_type", F.lit("article"), F.concat(F.lit("art_"), "_n"), "_t", "_n", F.lit(None).cast("int"))
-    long = articles.where(F.length("_t") > MOST_ARTICLE).select("document_id", "filename", "document_type", "_n", F.posexplode(article_parts(F.col("_t"))).alias("_j", "_p"))
-    parts = long.select("document_id", "filename", "document_type", F.lit("article_part"), F.concat(F.lit("art_"), "_n", F.lit("_p"), F.col("_j") + 1), "_p", "_n", F.col("_j") + 1)
-    out = whole.unionAll(opening).unionAll(short).unionAll(parts)
-    return out.select(F.concat_ws("_", "document_id", "_k").alias("chunk_id"), "document_id", "filename", "document_type", "chunk_type", "content", "article_number", "part")
+    keep = ["document_id", "filename", "document_type"]
+    rows = docs.select(*keep, cut_before(F.col("text"), ARTICLE).alias("_s")).select(*keep, F.size("_s").alias("_all"), F.posexplode("_s").alias("_i", "_t"))
+    rows = rows.withColumn("_t", strip(F.col("_t"))).withColumn("_n", strip(F.regexp_extract("_t", ARTICLE, 2)))
+    none = F.lit(None).cast("string")
+    chunk = lambda kind, key, content, number, part: F.struct(F.lit(kind).alias("chunk_type"), key.alias("_k"), content.alias("content"), number.alias("article_number"), part.cast("int").alias("part"))
+    named = F.concat(F.lit("art_"), "_n")
+    made = (
+        F.when(F.col("_all") == 1, F.array(chunk("full_document", F.lit("full"), F.col("_t"), none, F.lit(None))))
+        .when(F.col("_i") == 0, F.filter(F.array(chunk("preamble", F.lit("preamble"), F.col("_t"), none, F.lit(None))), lambda c: F.length(c["content"]) > 50))
+        .when(F.length("_t") <= MOST_ARTICLE, F.array(chunk("article", named, F.col("_t"), F.col("_n"), F.lit(None))))
+        .otherwise(F.transform(article_parts(F.col("_t")), lambda p, j: chunk("article_part", F.concat(named, F.lit("_p"), (j + 1).cast("string")), p, F.col("_n"), j + 1)))
+    )
+    out = rows.select(*keep, F.explode(made).alias("c")).select(*keep, "c.*")
+    return out.select(F.concat_ws("_", "document_id", "_k").alias("chunk_id"), *keep, "chunk_type", "content", "article_number", "part")
 
 
 def note_chunks(docs: DataFrame) -> DataFrame:
-    """Notes: summary block, major sections, lettered sub-sections under their section's title; else the whole text."""
+    """Notes: summary block, major sections, lettered sub-sections under their section's title; else the whole text.
+
+    One pass: the chunks of a note are one array.
+    """
     keep = ["document_id", "filename", "document_type"]
     none = F.lit(None).cast("string")
-    base = docs.withColumn("_s", cut_before(F.col("text"), MAJOR)).withColumn("_r", F.regexp_extract("text", SUMMARY, 0))
-    summary = base.where("_r <> ''").select(*keep, F.lit("resume").alias("chunk_type"), F.lit("resume").alias("_k"), strip(F.col("_r")).alias("content"), F.lit("RESUME").alias("section_number"), F.lit("Résumé").alias("section_title"), none.alias("subsection_letter"), none.alias("subsection_title"))
-    majors = base.where(F.size("_s") > 1).select(*keep, F.explode(F.slice("_s", F.lit(2), F.size("_s"))).alias("_t"))
-    majors = majors.select(*keep, "_t", F.regexp_extract("_t", MAJOR, 1).alias("_n"), strip(F.regexp_extract("_t", MAJOR, 2)).alias("_h"), cut_before(F.col("_t"), MINOR).alias("_m"))
-    plain = majors.where(F.size("_m") == 1).select(*keep, F.lit("section"), F.concat(F.lit("sec_"), "_n"), strip(F.col("_t")), "_n", "_h", none, none)
-    minors = majors.where(F.size("_m") > 1).select(*keep, "_n", "_h", F.explode(F.slice("_m", F.lit(2), F.size("_m"))).alias("_t")).withColumn("_l", F.regexp_extract("_t", MINOR, 1))
-    subs = minors.select(*keep, F.lit("subsection"), F.concat_ws("_", F.lit("sec"), "_n", "_l"), F.concat("_n", F.lit(". "), "_h", F.lit("\n\n"), strip(F.col("_t"))), "_n", "_h", "_l", strip(F.regexp_extract("_t", MINOR, 2)))
-    whole = base.where((F.size("_s") == 1) & (F.col("_r") == "")).select(*keep, F.lit("full_document"), F.lit("full"), strip(F.col("text")), none, none, none, none)
-    out = summary.unionAll(plain).unionAll(subs).unionAll(whole)
+
+    def chunk(kind: str, key: Column, content: Column, number: Column = none, title: Column = none, letter: Column = none, below: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("chunk_type"), key.alias("_k"), content.alias("content"), number.alias("section_number"), title.alias("section_title"), letter.alias("subsection_letter"), below.alias("subsection_title"))
+
+    def minor(x: Column, u: Column) -> Column:
+        letter = F.regexp_extract(u, MINOR, 1)
+        return chunk("subsection", F.concat_ws("_", F.lit("sec"), x["n"], letter), F.concat(x["n"], F.lit(". "), x["h"], F.lit("\n\n"), strip(u)), x["n"], x["h"], letter, strip(F.regexp_extract(u, MINOR, 2)))
+
+    def major(t: Column) -> Column:
+        parts = F.struct(F.regexp_extract(t, MAJOR, 1).alias("n"), strip(F.regexp_extract(t, MAJOR, 2)).alias("h"), cut_before(t, MINOR).alias("m"))
+        plain = lambda x: F.array(chunk("section", F.concat(F.lit("sec_"), x["n"]), strip(t), x["n"], x["h"]))
+        return let(parts, lambda x: F.when(F.size(x["m"]) == 1, plain(x)).otherwise(F.transform(F.slice(x["m"], F.lit(2), F.size(x["m"])), lambda u: minor(x, u))))
+
+    rows = docs.select(*keep, "text", cut_before(F.col("text"), MAJOR).alias("_s"), F.regexp_extract("text", SUMMARY, 0).alias("_r"))
+    summary = F.filter(F.array(chunk("resume", F.lit("resume"), strip(F.col("_r")), F.lit("RESUME"), F.lit("Résumé"))), lambda c: F.col("_r") != "")
+    sections = F.flatten(F.transform(F.slice("_s", F.lit(2), F.size("_s")), major))
+    whole = F.filter(F.array(chunk("full_document", F.lit("full"), strip(F.col("text")))), lambda c: (F.size("_s") == 1) & (F.col("_r") == ""))
+    out = rows.select(*keep, F.explode(F.concat(summary, sections, whole)).alias("c")).select(*keep, "c.*")
     return out.select(F.concat_ws("_", "document_id", "_k").alias("chunk_id"), *keep, "chunk_type", "content", "section_number", "section_title", "subsection_letter", "subsection_title")
 
 
 def index_chunks(docs: DataFrame) -> DataFrame:
-    """Documents (document_id, filename, text) by their detected type, as one schema."""
-    typed = docs.withColumn("document_type", document_type(F.col("filename"), F.col("text")))
+    """Documents (document_id, filename, text) by their detected type, as one schema. Null texts have no chunk.
+
+    Documents are staged by type, so that each is read by its own chunker only.
+    """
+    typed = staged(docs.where("text IS NOT NULL").withColumn("document_type", document_type(F.col("filename"), F.col("text"))), "typed", ["document_type"])
     return law_chunks(typed.where("document_type = 'loi'")).unionByName(note_chunks(typed.where("document_type <> 'loi'")), allowMissingColumns=True)
 
 
@@ -244,9 +265,9 @@ GRAPH_COLUMNS = ["doc_name", "page_num", "chunk_type", "article_ref", "section_t
 def graph_chunks(docs: DataFrame) -> DataFrame:
     """Every document by the chunker that fits it, as one schema with ``doc_kind``; extracts where a chunker makes them.
 
-    ``docs`` is what ``joined_pages`` gives. Documents are routed once each; a branch reads only its own kind.
+    ``docs`` is what ``joined_pages`` gives. Documents are staged by their kind, so that each is read by its own chunker only.
     """
-    typed = docs.withColumn("doc_kind", chunker_of(F.col("doc_name"), F.col("text")))
+    typed = staged(docs.withColumn("doc_kind", chunker_of(F.col("doc_name"), F.col("text"))), "routed", ["doc_kind"])
     of = lambda kind: typed.where(F.col("doc_kind") == kind).drop("doc_kind")
     branches = [("loi", legal_article_chunks), ("note", note_section_chunks), ("generic", generic_chunks), ("code", lambda d: code_chunks(d, "code")), ("convention", lambda d: code_chunks(d, "convention"))]
     out = None

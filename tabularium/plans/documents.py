@@ -33,6 +33,12 @@ def packed_articles(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("row_no", F.posexplode(packed_paragraphs(F.col("content"), 800)).alias("sub_index", "text"))
 
 
+def packed_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """The groups of each content put together again, white space aside; of several parts none above the size is made."""
+    rows = packed_articles(spark, root).groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("sub_index", "text"))).alias("p"))
+    return rows.select("row_no", F.md5(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["text"]), ""), f"{_S}+", "")).alias("squeezed_md5"))
+
+
 def carry_forward(spark: SparkSession, root: str) -> DataFrame:
     """The section title that was last seen in the file's delivery order."""
     rows = table(spark, root, "index_chunk").select("row_no", "filename", "section_title")
@@ -198,12 +204,27 @@ def _pages(spark: SparkSession, root: str) -> DataFrame:
 
 def law_index_chunks(spark: SparkSession, root: str) -> DataFrame:
     """Documents chunked by their type: articles of laws, sections of notes."""
-    docs = table(spark, root, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("filename"), "text")
+    docs = _pages(spark, root).select(F.col("doc_name").alias("document_id"), F.col("doc_name").alias("filename"), "text")
     return chunkers.index_chunks(docs)
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_name", "ord", "start", F.coalesce("page_num", F.lit(-1)).alias("page_num"), F.md5("raw").alias("unit_md5"))
+def law_index_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks of laws that are no parts of a larger article: whole documents, preambles and articles."""
+    rows = law_index_chunks(spark, root).where("document_type = 'loi' AND chunk_type <> 'article_part'")
+    return rows.select("chunk_id", "chunk_type", "article_number", F.md5("content").alias("content_md5"))
+
+
+_LAW_SQL = f"""
+WITH j AS (SELECT filename id, string_agg(content, chr(10) || chr(10) ORDER BY page_number NULLS FIRST, row_no) AS text FROM index_chunk WHERE content IS NOT NULL AND filename IS NOT NULL GROUP BY 1),
+d AS (SELECT id, text, lower(id) f, lower(substr(text, 1, 600)) h FROM j),
+t AS (SELECT id, text FROM d WHERE CASE WHEN contains(f, 'loi') THEN true WHEN contains(f, 'note') OR contains(f, 'commune') OR contains(f, 'مذكرة') THEN false WHEN contains(h, 'loi de finances') OR contains(h, 'article premier') THEN true ELSE NOT (contains(h, 'note commune') OR contains(h, 'objet :') OR contains(h, 'مذكرة') OR contains(h, 'قانون')) END),
+s AS (SELECT id, text, string_split(regexp_replace(text, '{_wide(chunkers.ARTICLE.removesuffix(chr(92) + 'b'))}(?:[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]|$)', chr(1) || '\\0', 'g'), chr(1)) s FROM t),
+u AS (SELECT id, i, len(s) n, {_strip_sql('s[i]')} x FROM (SELECT *, unnest(range(1, len(s) + 1)) i FROM s)),
+a AS (SELECT *, {_strip_sql(f"regexp_extract(x, '{_wide(chunkers.ARTICLE.removesuffix(chr(92) + 'b'))}', 2)")} k FROM u)
+SELECT id || '_full' AS chunk_id, 'full_document' AS chunk_type, NULL::VARCHAR AS article_number, md5(x) AS content_md5 FROM a WHERE n = 1
+UNION ALL SELECT id || '_preamble', 'preamble', NULL, md5(x) FROM a WHERE n > 1 AND i = 1 AND length(x) > 50
+UNION ALL SELECT id || '_art_' || k, 'article', k, md5(x) FROM a WHERE i > 1 AND length(x) <= 2000
+"""
 
 
 def legal_units(spark: SparkSession, root: str) -> DataFrame:
@@ -277,8 +298,9 @@ def convention_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.code_chunks(_by_name(spark, root, "convention"), "convention")
 
 
-QUERIES = {f.__name__: f for f in (article_split, packed_articles, carry_forward, offset_to_page, asof_article, table_islands, table_prose_rows, table_chunk_rows, table_passthrough, ocr_rows_cols, ocr_tables, chat_context, law_index_chunks, legal_units, note_units, code_units, chunker_routes, graph_chunks, legal_chunks, note_chunks, code_chunks, convention_chunks)}
+QUERIES = {f.__name__: f for f in (article_split, packed_articles, packed_round_trip, carry_forward, offset_to_page, asof_article, table_islands, table_prose_rows, table_chunk_rows, table_passthrough, ocr_rows_cols, ocr_tables, chat_context, law_index_chunks, law_index_whole, legal_units, note_units, code_units, chunker_routes, graph_chunks, legal_chunks, note_chunks, code_chunks, convention_chunks)}
 ORACLES = {
+    "packed_round_trip": f"SELECT row_no, md5(regexp_replace(content, '{_S}+', '', 'g')) AS squeezed_md5 FROM index_chunk WHERE content IS NOT NULL", "law_index_whole": _LAW_SQL,
     "article_split": _SPLIT_SQL, "asof_article": _ASOF_SQL, "table_islands": _ISLANDS_SQL, "table_prose_rows": _PROSE_SQL, "table_chunk_rows": _TABLE_CHUNK_SQL, "table_passthrough": _PASS_SQL, "ocr_rows_cols": _OCR_SQL, "ocr_tables": _OCR_TABLES_SQL, "chat_context": _CONTEXT_SQL,
     "legal_units": _units_sql(chunkers.LEGAL_ARTICLE), "note_units": _units_sql(chunkers.NOTE_SECTION), "code_units": _units_sql(*chunkers.HEADINGS["code"]), "chunker_routes": _ROUTES_SQL,
     "carry_forward": "SELECT row_no, filename, last_value(section_title IGNORE NULLS) OVER (PARTITION BY filename ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS carried_title FROM index_chunk",
