@@ -27,7 +27,6 @@ SECTION_REF = r"(?:section|sec\.?)\s+(?:\d+|I{1,3}V?|VI{0,3})"
 AMOUNT = {"code": r"(\d+(?:[.,]\d+)?)\s*(?:%|pour-?cent|dinars?|DT|d\.?\s?t\.?)", "convention": r"(\d+(?:[.,]\d+)?)\s*(?:%|pour-?cent)"}
 CROSS_REF = r"(?:article|art\.?)\s+(\w+)\s+(?:du|de|la|l['´])\s+([^.]+?)(?:\.|,|;)"
 LEGAL_TERM = {"code": r"(?:au sens|means?|d[ée]nomm[ée]|appel[ée])\s+[«\"]?([^«»\n.]{3,100})[»\"]?", "convention": r"(?:au sens|means?)\s+[«\"]?([^«»\n.]{3,100})[»\"]?"}
-DATE = r"(?:du|de|au|le)\s+(\d{1,2})\s+(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre)\s+(\d{4})"
 
 
 def _all(text: Column, pattern: str, group: int = 0, flags: str = FLAGS) -> Column:
@@ -62,11 +61,6 @@ def cross_refs(text: Column) -> Column:
     return F.slice(F.array_distinct(pairs), 1, 15)
 
 
-def dates(text: Column) -> Column:
-    """Day and year of French dates."""
-    return F.zip_with(_all(text, DATE, 1), _all(text, DATE, 2), lambda a, b: F.struct(a.alias("day"), b.alias("year")))
-
-
 def thresholds(text: Column, kind: str = "code", around: int = 50, most: int = 20) -> Column:
     """``array<struct<value, full_text, context>>`` of percentages and amounts with the text around them."""
     pattern = FLAGS + AMOUNT[kind]

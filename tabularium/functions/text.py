@@ -139,6 +139,17 @@ def label_of(key: Column, labels: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in labels.items() for v in kv]), key), key) if labels else key
 
 
+def stamp(at: Column) -> Column:
+    """A time as run logs write it: to the minute."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
+def duration(seconds: Column) -> Column:
+    """``3m 05s`` for 185 seconds; a null or negative duration gives null."""
+    whole = F.floor(seconds).cast("bigint")
+    return F.when(whole >= 0, F.format_string("%dm %02ds", F.floor(whole / 60).cast("bigint"), whole % 60))
+
+
 def truncated(x: Column, most: int, mark: str = "…") -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(mark))).otherwise(x)
 

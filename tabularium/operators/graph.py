@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabularium.functions.extract import entities
 from tabularium.functions.segment import let
-from tabularium.functions.text import text_key
+from tabularium.functions.text import text_key, truncated
 
 
 def same_page(chunks: DataFrame, key: str = "id", doc: str = "doc_name", page: str = "page_num") -> DataFrame:
@@ -139,6 +139,12 @@ def knowledge_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
+def properties(df: DataFrame, key: str, most: int = 200) -> DataFrame:
+    """``(key, property, value)`` of every filled column of every row, long values cut with a mark."""
+    pairs = [F.struct(F.lit(c).alias("property"), truncated(F.col(c).cast("string"), most, "... [TRUNCATED]").alias("value")) for c in df.columns if c != key]
+    return df.select(key, F.explode(F.array(*pairs)).alias("p")).select(key, "p.*").where("value IS NOT NULL")
+
+
 def null_audit(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null, empty and filled values of text columns, in one pass."""
     figures = [x for c in columns for x in (F.count_if(F.col(c).isNull()).alias(f"{c}_null"), F.count_if(F.col(c) == "").alias(f"{c}_empty"), F.count_if(F.col(c) != "").alias(f"{c}_filled"))]

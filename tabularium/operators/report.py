@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
@@ -46,6 +48,26 @@ def generated_sections(text: Column) -> Column:
     return F.struct(*[body(i, w).alias(k) for k, (i, w) in SECTIONS.items()], abbreviations(text).alias("ABREVIATIONS"))
 
 
+def formatted(template: str, values: dict[str, Column]) -> Column:
+    """``{name}`` places of a prompt filled as they stand, all at once, so a value that holds such a place stays as it is.
+
+    A null value is empty; a place without a value stays.
+    """
+    parts = re.split("(" + "|".join(re.escape("{" + n + "}") for n in values) + ")", template) if values else [template]
+    return F.concat(*[F.coalesce(values[p[1:-1]].cast("string"), F.lit("")) if p[:1] == "{" and p[1:-1] in values else F.lit(p) for p in parts])
+
+
+def chat_prompts(questions: DataFrame, contexts: DataFrame, history: DataFrame, key: str, template: str) -> DataFrame:
+    """``(key, prompt)``: each question with its context and the turns kept of its conversation, oldest first.
+
+    ``questions`` has ``(key, question)``, ``contexts`` ``(key, context)``, ``history`` ``(key, turn, role, text)``. A question
+    without context or history has empty places.
+    """
+    said = history.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("history"))
+    rows = questions.select(key, "question").join(contexts.select(key, "context"), key, "left").join(said, key, "left")
+    return rows.select(key, formatted(template, {n: F.col(n) for n in ("question", "context", "history")}).alias("prompt"))
+
+
 def filled_template(template: Column, values: dict[str, Column], markup: bool = False) -> Column:
     """``{{NAME}}`` tokens replaced by escaped values, or by word-processing runs."""
     for name, v in values.items():

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from tabularium.functions.segment import let
-from tabularium.functions.text import fold, tokens
+from tabularium.functions.text import tokens
 from tabularium.plans.staging import staged
 
 #: Term saturation and length normalisation: of the main field, and of the others (fixed values).
@@ -180,7 +180,3 @@ def keyword_any(df: DataFrame, fields: list[str], words: list[str]) -> DataFrame
         for f in fields:
             cond = cond | F.coalesce(F.lower(F.col(f)).contains(w), F.lit(False))
     return df.where(cond)
-
-
-def folded_contains(x: Column, word: str) -> Column:
-    return fold(x).contains(fold(F.lit(word)))

@@ -96,8 +96,22 @@ def column_of(x: Column, bounds: Column) -> Column:
     return F.when(inside > 0, inside - 1).otherwise(F.size(bounds) - 1).cast("int")
 
 
-def is_image_page(text: Column, area: Column) -> Column:
-    return F.length(text) / area < 0.002
+def is_image_page(text: Column, area: Column, largest_image: Column | None = None) -> Column:
+    """A page with hardly any text for its area; with ``largest_image`` also only if an image of some size is on it."""
+    sparse = F.coalesce(F.length(text), F.lit(0)) / area < 0.002
+    return sparse if largest_image is None else sparse & (F.coalesce(largest_image, F.lit(0)) > 5000)
+
+
+def usable_tables(tables: DataFrame, least: int = 2) -> DataFrame:
+    """Extracted tables of at least ``least`` rows, null cells empty; null rows count for none."""
+    rows = F.transform(F.filter(F.coalesce("raw_data", F.array().cast("array<array<string>>")), lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
+    return tables.withColumn("raw_data", rows).where(F.size("raw_data") >= least)
+
+
+def image_table_chunks(found: DataFrame) -> DataFrame:
+    """Texts recognised in cropped tables (doc_name, page_num, table_index, text) as chunks under their head; empty ones go."""
+    text = F.concat(F.lit("[TABLE IMAGE — page "), F.coalesce(F.col("page_num").cast("string"), F.lit("")), F.lit("]\n"), F.trim("text"))
+    return found.where("trim(text) <> ''").select("doc_name", "page_num", "table_index", F.lit("table_image").alias("chunk_type"), text.alias("text"))
 
 
 def table_chunks(tables: DataFrame) -> DataFrame:

@@ -225,8 +225,14 @@ def last_turns(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("r", r).where("r <= 4").drop("r")
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, bm25_fields_boost, filtered_search, search_totals, facet_terms, ranked_results, fuzzy_terms, postings, highlight_snippets, keyword_fallback, topic_score, scenario_topk, vector_topk, merged_ranking, last_turns)}
+def index_health(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the index answers, and how many rows it has."""
+    return table(spark, root, "index_chunk").agg(F.lit(True).alias("alive"), F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (bm25_search, bm25_fields_boost, filtered_search, search_totals, facet_terms, ranked_results, fuzzy_terms, postings, highlight_snippets, keyword_fallback, topic_score, scenario_topk, vector_topk, merged_ranking, last_turns, index_health)}
 ORACLES = {
+    "index_health": "SELECT true AS alive, count(*) AS n FROM index_chunk",
     "bm25_search": _BM25_SQL, "bm25_fields_boost": _BOOST_SQL, "filtered_search": _FILTERED_SQL, "search_totals": _TOTALS_SQL, "facet_terms": _FACET_SQL, "ranked_results": _RANKED_SQL, "fuzzy_terms": _FUZZY_SQL, "postings": _POSTINGS_SQL,
     "keyword_fallback": f"SELECT id, 0.5::DOUBLE AS score FROM graph_chunk WHERE {_KEYWORD_SQL} ORDER BY id LIMIT 100", "topic_score": _TOPIC_SQL, "scenario_topk": _SCENARIO_SQL, "vector_topk": _VECTOR_SQL, "merged_ranking": _MERGED_SQL,
     "last_turns": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 4",

@@ -25,9 +25,16 @@ def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str =
     return reader.load(path)
 
 
-def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> int:
-    """Process what is there now and stop. Returns the number of batches of this run, counted as they are written."""
+def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], force: bool = False) -> int:
+    """Process what is there now and stop. Returns the number of batches of this run, counted as they are written.
+
+    ``force`` forgets what was read before and takes everything again.
+    """
     done: set[int] = set()
+    if force:
+        spark = stream.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def counted(df: DataFrame, batch_id: int) -> None:
         batch(df, batch_id)

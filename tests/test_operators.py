@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import Row, functions as F
 
+from tabularium.functions import text
 from tabularium.operators import chunkers, graph, report, running, search, tables
 from tabularium.operators.components import connected_components
 from tabularium.plans.latest import latest_rows
@@ -262,6 +263,42 @@ def test_ranks_and_facets(spark):
     assert search.matching(rows, "text", " - ").count() == 0
 
 
+def test_prompts_answers_and_helpers(spark):
+    q = spark.createDataFrame([(1, "et {context} ?"), (2, None)], "id int, question string")
+    c = spark.createDataFrame([(1, "loi")], "id int, context string")
+    h = spark.createDataFrame([(1, 2, "assistant", "oui"), (1, 1, "user", "bonjour")], "id int, turn int, role string, text string")
+    prompts = report.chat_prompts(q, c, h, "id", "{context}|{history}|{question}|{other}")
+    assert {r.id: r.prompt for r in prompts.collect()} == {1: "loi|user: bonjour\nassistant: oui|et {context} ?|{other}", 2: "|||{other}"}
+    assert {r.id: r.answer for r in files.answers(prompts, "id", "prompt", lambda p: 1 / 0).collect()} == {1: "", 2: ""}
+    row = spark.createDataFrame([(datetime.datetime(2024, 5, 6, 7, 8, 9), 185.9, -1.0, "x" * 300)], "t timestamp, s double, n double, v string")
+    assert tuple(row.select(text.stamp(F.col("t")), text.duration(F.col("s")), text.duration(F.col("n"))).first()) == ("2024-05-06 07:08", "3m 05s", None)
+    got = {r.property: r.value for r in graph.properties(row.withColumn("k", F.lit(1)).withColumn("z", F.lit(None).cast("string")), "k").collect()}
+    assert set(got) == {"t", "s", "n", "v"} and got["v"] == "x" * 200 + "... [TRUNCATED]"
+    assert row.select(text.key_of("d", F.lit(3), "p")).first()[0] == "d_3_p"
+
+
+def test_tables_of_pages(spark):
+    t = spark.createDataFrame([(1, [["a", None], None, ["b", "c"]]), (2, [["a"]]), (3, None)], "id int, raw_data array<array<string>>")
+    assert [(r.id, r.raw_data) for r in tables.usable_tables(t).collect()] == [(1, [["a", ""], ["b", "c"]])]
+    f = spark.createDataFrame([("d", 2, 0, " x "), ("d", 3, 0, " "), ("d", 4, 0, None)], "doc_name string, page_num int, table_index int, text string")
+    assert [r.text for r in tables.image_table_chunks(f).collect()] == ["[TABLE IMAGE — page 2]\nx"]
+    pages = spark.createDataFrame([("x" * 10, 10000, 6000), ("x" * 10, 10000, 10), (None, 10000, None), ("x" * 100, 10000, 9000)], "t string, a int, i int")
+    assert [tuple(r) for r in pages.select(tables.is_image_page(F.col("t"), F.col("a")), tables.is_image_page(F.col("t"), F.col("a"), F.col("i"))).collect()] == [(True, True), (True, False), (True, False), (False, False)]
+    boxes = spark.createDataFrame([(2, 3, 200, 150), (0, 0, 90, 900), (500, 500, 300, 300)], '`left` int, top int, width int, height int').withColumn("w", F.lit(600)).withColumn("h", F.lit(700))
+    assert sorted((r.x0, r.y0, r.x1, r.y1) for r in tables.table_regions(boxes, "w", "h").collect()) == [(0, 0, 207, 158), (495, 495, 600, 700)]
+
+
+def test_forced_runs_and_keys_once(spark, tmp_path):
+    src, at = str(tmp_path / "in"), str(tmp_path / "cp")
+    spark.createDataFrame([(datetime.datetime(2024, 1, 1), "a"), (datetime.datetime(2024, 1, 1), "a"), (datetime.datetime(2024, 1, 1), "b")], "t timestamp, k string").coalesce(1).write.parquet(src)
+    seen = []
+    take = lambda df, i: seen.append(sorted(r.k for r in df.collect()))
+    stream = lambda: ingest.once_by_key(ingest.stream_files(spark, src, spark.read.parquet(src).schema), "k", "t", "1 day")
+    for force in (False, False, True):
+        ingest.run_available(stream(), at, take, force=force)
+    assert [x for x in seen if x] == [["a", "b"], ["a", "b"]]
+
+
 def test_files_and_adapters(spark, tmp_path):
     (tmp_path / "lois_finances").mkdir()
     (tmp_path / "lois_finances" / "a.pdf").write_bytes(b"un|deux")
