@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tabularium.plans.staging import staged
 from tabularium.sources.tables import table
 
 #: White space as the tables mean it: ASCII controls, the separators of Unicode and NEL.
@@ -38,12 +39,12 @@ def repeated_lines(df: DataFrame, source: str, document: str, text: str, row: st
 
     A line is one if it stands, in any row, in at least ``min_documents`` distinct documents of its source and in at
     least ``min_share`` of them. Rows with a null source belong to no source and give none; a null document counts for
-    none. Distinct counting shuffles (source, hash, document) after a map-side distinct, so neither a hot source nor a
-    hot line meets in one task; the join back leaves skewed keys to the adaptive planner, whose other side has one
-    row per key.
+    none. Lines are normalised once and staged as hashes. Distinct counting shuffles (source, hash, document) after a
+    map-side distinct, so neither a hot source nor a hot line meets in one task; the join back leaves skewed keys to the
+    adaptive planner, whose other side has one row per key.
     """
     at = df.where(F.col(source).isNotNull())
-    lines = numbered_lines(at, text, [source, document, row], min_letters)
+    lines = staged(numbered_lines(at, text, [source, document, row], min_letters), "lines")
     counts = lines.where(F.col(document).isNotNull()).select(source, "line_hash", document).distinct().groupBy(source, "line_hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_documents)
     sizes = at.where(F.col(document).isNotNull()).select(source, document).distinct().groupBy(source).agg(F.count(F.lit(1)).alias("n_all"))
     frequent = counts.join(sizes, source).where(F.col("n_docs") >= min_share * F.col("n_all")).select(source, "line_hash", "n_docs", "n_all")
