@@ -227,6 +227,10 @@ UNION ALL SELECT id || '_art_' || k, 'article', k, md5(x) FROM a WHERE i > 1 AND
 """
 
 
+def _units(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_name", "ord", "start", F.coalesce("page_num", F.lit(-1)).alias("page_num"), F.md5("raw").alias("unit_md5"))
+
+
 def legal_units(spark: SparkSession, root: str) -> DataFrame:
     """Every document cut at its article headings: place, page and text of each unit; the units make up the whole text."""
     return _units(chunkers.placed_units(_pages(spark, root), chunkers._cut_units(chunkers.LEGAL_ARTICLE)))
@@ -242,7 +246,7 @@ def code_units(spark: SparkSession, root: str) -> DataFrame:
     return _units(chunkers.placed_units(_pages(spark, root), chunkers.code_units("code")))
 
 
-def _units_sql(*patterns: str) -> str:
+def _units_sql(*patterns: str, columns: str = "a.st AS start, CAST(coalesce(k.page, -1) AS INT) AS page_num, md5(a.raw) AS unit_md5", where: str = "true") -> str:
     cut = "text"
     for p in patterns:  # a heading of one level is none of another, so the levels can be marked one after the other
         cut = f"regexp_replace({cut}, '{_wide(p)}', chr(1) || '\\0', 'g')"
@@ -251,7 +255,7 @@ WITH p AS (SELECT filename doc, page_number page, row_no, content c, coalesce(su
 t AS (SELECT doc, string_agg(c, chr(10) || chr(10) ORDER BY page NULLS FIRST, row_no) text FROM p GROUP BY doc), s AS (SELECT doc, string_split({cut}, chr(1)) s FROM t),
 u AS (SELECT doc, i - 1 ord, s[i] raw FROM (SELECT *, unnest(range(1, len(s) + 1)) i FROM s)), o AS (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT st FROM u),
 a AS (SELECT *, st + length(raw) - length(regexp_replace(raw, '^{_S}+', '')) pos FROM o)
-SELECT a.doc AS doc_name, CAST(a.ord AS INT) AS ord, a.st AS start, CAST(coalesce(k.page, -1) AS INT) AS page_num, md5(a.raw) AS unit_md5 FROM a ASOF LEFT JOIN (SELECT * FROM p WHERE page IS NOT NULL) k ON a.doc = k.doc AND a.pos >= k.lo
+SELECT a.doc AS doc_name, CAST(a.ord AS INT) AS ord, {columns} FROM a ASOF LEFT JOIN (SELECT * FROM p WHERE page IS NOT NULL) k ON a.doc = k.doc AND a.pos >= k.lo WHERE {where}
 """
 
 
@@ -290,6 +294,22 @@ def note_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.note_section_chunks(_by_name(spark, root, "note"))
 
 
+def legal_refs(spark: SparkSession, root: str) -> DataFrame:
+    """Article and page of every unit that ``legal_chunks`` makes chunks of."""
+    return legal_chunks(spark, root).where("sub_index = 0").select("doc_name", "ord", "article_ref", F.coalesce("page_num", F.lit(-1)).alias("page_num"))
+
+
+def note_refs(spark: SparkSession, root: str) -> DataFrame:
+    """Section, page and subject of every unit that ``note_chunks`` makes chunks of."""
+    return note_chunks(spark, root).where("sub_index = 0").select("doc_name", "ord", "article_ref", F.coalesce("page_num", F.lit(-1)).alias("page_num"))
+
+
+def _refs_sql(pattern: str, kind: str, first: str, lead: str, rim: str, least: int) -> str:
+    ref = f"CASE WHEN a.ord = 0 THEN '{first}' ELSE '{lead}' || rtrim({_strip_sql(f"regexp_extract({_strip_sql('a.raw')}, '{_wide(pattern)}')")}, '{rim}') END"
+    by_name = "CASE WHEN contains(lower(a.doc), 'code') THEN 'code' WHEN contains(lower(a.doc), 'convention') THEN 'convention' WHEN contains(lower(a.doc), 'note') THEN 'note' ELSE 'loi' END"
+    return _units_sql(pattern, columns=f"{ref} AS article_ref, CAST(coalesce(k.page, -1) AS INT) AS page_num", where=f"{by_name} = '{kind}' AND (a.ord > 0 OR length({_strip_sql('a.raw')}) > {least})")
+
+
 def code_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.code_chunks(_by_name(spark, root, "code"))
 
@@ -298,10 +318,11 @@ def convention_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.code_chunks(_by_name(spark, root, "convention"), "convention")
 
 
-QUERIES = {f.__name__: f for f in (article_split, packed_articles, packed_round_trip, carry_forward, offset_to_page, asof_article, table_islands, table_prose_rows, table_chunk_rows, table_passthrough, ocr_rows_cols, ocr_tables, chat_context, law_index_chunks, law_index_whole, legal_units, note_units, code_units, chunker_routes, graph_chunks, legal_chunks, note_chunks, code_chunks, convention_chunks)}
+QUERIES = {f.__name__: f for f in (article_split, packed_articles, packed_round_trip, carry_forward, offset_to_page, asof_article, table_islands, table_prose_rows, table_chunk_rows, table_passthrough, ocr_rows_cols, ocr_tables, chat_context, law_index_chunks, law_index_whole, legal_units, note_units, code_units, chunker_routes, graph_chunks, legal_chunks, note_chunks, legal_refs, note_refs, code_chunks, convention_chunks)}
 ORACLES = {
     "packed_round_trip": f"SELECT row_no, md5(regexp_replace(content, '{_S}+', '', 'g')) AS squeezed_md5 FROM index_chunk WHERE content IS NOT NULL", "law_index_whole": _LAW_SQL,
     "article_split": _SPLIT_SQL, "asof_article": _ASOF_SQL, "table_islands": _ISLANDS_SQL, "table_prose_rows": _PROSE_SQL, "table_chunk_rows": _TABLE_CHUNK_SQL, "table_passthrough": _PASS_SQL, "ocr_rows_cols": _OCR_SQL, "ocr_tables": _OCR_TABLES_SQL, "chat_context": _CONTEXT_SQL,
+    "legal_refs": _refs_sql(chunkers.LEGAL_ARTICLE, "loi", "Préambule", "", "-:—–( ", 50), "note_refs": _refs_sql(chunkers.NOTE_SECTION, "note", "En-tête / Résumé", "Section ", ".-–—) ", 30),
     "legal_units": _units_sql(chunkers.LEGAL_ARTICLE), "note_units": _units_sql(chunkers.NOTE_SECTION), "code_units": _units_sql(*chunkers.HEADINGS["code"]), "chunker_routes": _ROUTES_SQL,
     "carry_forward": "SELECT row_no, filename, last_value(section_title IGNORE NULLS) OVER (PARTITION BY filename ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS carried_title FROM index_chunk",
     "offset_to_page": "SELECT row_no, page_number, CAST(hi - n - 2 AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM (SELECT row_no, page_number, coalesce(length(content), 0) n, sum(coalesce(length(content), 0) + 2) OVER (PARTITION BY filename ORDER BY row_no) hi FROM index_chunk)",

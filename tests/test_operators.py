@@ -299,6 +299,18 @@ def test_forced_runs_and_keys_once(spark, tmp_path):
     assert [x for x in seen if x] == [["a", "b"], ["a", "b"]]
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tabularium.plans.staging import shared_dir
+
+    fake = lambda master, at: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: at), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert shared_dir(fake("spark://x:7077", "hdfs://y/z")) == "hdfs://y/z"
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(fake(master, None))
+
+
 def test_files_and_adapters(spark, tmp_path):
     (tmp_path / "lois_finances").mkdir()
     (tmp_path / "lois_finances" / "a.pdf").write_bytes(b"un|deux")
