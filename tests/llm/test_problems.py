@@ -1,6 +1,5 @@
 """Operators for training text: definitions, brute force, damaged input, hot groups."""
 
-import datetime
 import os
 import re
 from collections import Counter
